@@ -202,10 +202,10 @@ class Encoder:
             self.n += 1
             self.at[self.n] = self.used
 
-    def _piece(self, text: str) -> np.ndarray:
-        words = _SPLIT.findall(text)
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after another, and where each word's ids end."""
         if not words:
-            return np.zeros(0, np.int32)
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         if self.n > CACHED:
             self.known, self.used, self.n = {}, 0, 0
         get = self.known.get
@@ -216,25 +216,57 @@ class Encoder:
         at = np.array(found, np.int64)
         start, count = self.at[at], self.at[at + 1] - self.at[at]
         end = np.cumsum(count)
-        return self.flat[np.repeat(start - (end - count), count) + np.arange(end[-1])]
+        return self.flat[np.repeat(start - (end - count), count) + np.arange(end[-1])], end
 
-    def _plain(self, text: str) -> Iterator[np.ndarray]:
+    def _cuts(self, text: str) -> Iterator[str | int]:
+        """Parts of a text that are split into words apart: plain strings, and ids of special tokens."""
+        s = 0
+        for m in self.special.finditer(text) if self.special else ():
+            yield from self._plain(text[s : m.start()])
+            yield self.v.special[m[0]]
+            s = m.end()
+        yield from self._plain(text[s:] if s else text)
+
+    def _plain(self, text: str) -> Iterator[str]:
         s = 0
         while len(text) - s > PIECE:
             cut = _CUT.search(text, s + PIECE)
             if not cut:
                 break
-            yield self._piece(text[s : cut.start()])
+            yield text[s : cut.start()]
             s = cut.start()
-        yield self._piece(text[s:] if s else text)
-
-    def pieces(self, text: str) -> Iterator[np.ndarray]:
-        s = 0
-        for m in self.special.finditer(text) if self.special else ():
-            yield from self._plain(text[s : m.start()])
-            yield np.array([self.v.special[m[0]]], np.int32)
-            s = m.end()
-        yield from self._plain(text[s:] if s else text)
+        yield text[s:] if s else text
+
+    def encode(self, texts: Sequence[str]) -> Iterator[tuple[int, np.ndarray]]:
+        """(number of the text, ids) of parts of the texts, in order; each text has a part at least.  Words of many short
+        texts are encoded together, a long text part by part."""
+        words: list[str] = []
+        parts: list[tuple[int, int | None, int]] = []  # text, special id or None, end within words
+        size = 0
+
+        def flush() -> Iterator[tuple[int, np.ndarray]]:
+            ids, end = self._ids(words)
+            s = 0
+            for k, special, last in parts:
+                if special is not None:
+                    yield k, np.array([special], np.int32)
+                    continue
+                e = int(end[last - 1]) if last else 0
+                yield k, ids[s:e]
+                s = e
+
+        for k, text in enumerate(texts):
+            for part in self._cuts(text):
+                if isinstance(part, int):
+                    parts.append((k, part, len(words)))
+                    continue
+                words += _SPLIT.findall(part)
+                parts.append((k, None, len(words)))
+                size += len(part)
+                if size >= PIECE:
+                    yield from flush()
+                    words, parts, size = [], [], 0
+        yield from flush()
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -267,28 +299,33 @@ def encode(docs: DataFrame, text_col: str = "text", outputs: Sequence[str] = ("n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(spec.value)
+        bytes_of = e.v.bytes_of
         for batch in batches:
             out: dict[str, list] = {o: [] for o in outputs}
-            for text in batch.column(len(names)):
-                n, ids_hash, back_hash, ids, back, pending = 0, hashlib.sha256(), hashlib.sha256(), [], [], b""
-                for part in e.pieces(text.as_py() or ""):
-                    n += len(part)
-                    if "ids_sha256" in out:
-                        ids_hash.update(part.astype("<u4").tobytes())
-                    if "ids" in out:
-                        ids.append(part)
-                    if "decoded" in out or "decoded_sha256" in out:  # pieces end where characters do
-                        back_text = b"".join([e.v.bytes_of[i] for i in part.tolist()]).decode("utf-8", "replace").encode()
-                        back_hash.update(back_text)
-                        if "decoded" in out:
-                            back.append(back_text)
-                for o, value in (("n_tokens", n), ("ids_sha256", ids_hash.hexdigest()), ("decoded_sha256", back_hash.hexdigest())):
+            at, n, ids, back, ids_hash, back_hash = -1, 0, [], [], None, None
+
+            def over() -> None:
+                for o, value in (("n_tokens", lambda: n), ("ids_sha256", lambda: ids_hash.hexdigest()), ("decoded_sha256", lambda: back_hash.hexdigest()), ("ids", lambda: np.concatenate(ids)), ("decoded", lambda: b"".join(back).decode())):
                     if o in out:
-                        out[o].append(value)
+                        out[o].append(value())
+
+            for k, part in e.encode([t or "" for t in batch.column(len(names)).to_pylist()]):
+                if k != at:
+                    if at >= 0:
+                        over()
+                    at, n, ids, back, ids_hash, back_hash = k, 0, [], [], hashlib.sha256(), hashlib.sha256()
+                n += len(part)
+                if "ids_sha256" in out:
+                    ids_hash.update(part.astype("<u4").tobytes())
                 if "ids" in out:
-                    out["ids"].append(np.concatenate(ids))
-                if "decoded" in out:
-                    out["decoded"].append(b"".join(back).decode())
+                    ids.append(part)
+                if "decoded" in out or "decoded_sha256" in out:  # parts end where characters do
+                    text = b"".join([bytes_of[i] for i in part.tolist()]).decode("utf-8", "replace").encode()
+                    back_hash.update(text)
+                    if "decoded" in out:
+                        back.append(text)
+            if at >= 0:
+                over()
             kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "ids_sha256": pa.string(), "decoded": pa.string(), "decoded_sha256": pa.string()}
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *(pa.array(out[o], kinds[o]) for o in outputs)], names=[*names, *outputs])
 
