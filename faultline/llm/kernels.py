@@ -58,21 +58,21 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def blocks(data: np.ndarray, off: np.ndarray, size: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, rows, bytes, offsets) of pieces of about ``size`` bytes: whole rows, or white-space-ended parts of one
-    row that is longer (the piece then has one row; all its pieces have the same row number and follow each other)."""
+def blocks(data: np.ndarray, off: np.ndarray, size: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+    """(first row, rows, bytes, offsets, whether the last row ends) of pieces of about ``size`` bytes: whole rows, or
+    white-space-ended parts of one row that is longer (the piece then has one row; its pieces follow each other)."""
     n, i = len(off) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
         s, e = int(off[i]), int(off[j])
         if e - s <= 2 * size:
-            yield i, j - i, data[s:e], off[i : j + 1] - s
+            yield i, j - i, data[s:e], off[i : j + 1] - s, True
         else:
             while s < e or s == off[i]:
                 t = min(e, s + size)
                 while t < e and not _SPACE[data[t]]:
                     t += 1
-                yield i, 1, data[s:t], np.array([0, t - s], np.int64)
+                yield i, 1, data[s:t], np.array([0, t - s], np.int64), t >= e
                 s = t
                 if s >= e:
                     break

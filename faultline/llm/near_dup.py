@@ -60,7 +60,7 @@ def gram_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
     data, off = raw(texts)
     pending: list[np.ndarray] = []
     row = -1
-    for first, rows, piece, o in blocks(data, off):
+    for first, rows, piece, o, _ in blocks(data, off):
         w = Words(piece, o)
         h = w.hash
         for r in range(rows):

@@ -84,7 +84,7 @@ def features(texts: pa.Array, lex: Lexicon) -> np.ndarray:
     data, off = raw(texts)
     n = len(off) - 1
     c = np.zeros((n, 17))
-    for first, rows, d, o in blocks(data, off):
+    for first, rows, d, o, _ in blocks(data, off):
         at = slice(first, first + rows)
         w = Words(d, o, _NO_LETTER)
         row, per = w.row, lambda x: np.bincount(w.row, x, rows)
@@ -142,7 +142,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for batch in batches:
         label = np.array(batch.column(1).to_pylist(), np.int64)
         data, off = raw(batch.column(0))
-        for first, rows, d, o in blocks(data, off):
+        for first, rows, d, o, _ in blocks(data, off):
             w = Words(d, o, _NO_LETTER)
             y = label[first : first + rows][w.row]
             salt = (w.row.astype(np.uint64) + U(1)) * U(0xD6E8FEB86659FD93)
