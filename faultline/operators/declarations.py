@@ -58,9 +58,9 @@ def substitution_violations(methods: DataFrame, propagated: DataFrame, relations
 
 
 def help_types(missing: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """``key`` columns and ``types``: error types of each group in order, runs of equal neighbours as one, joined by '|'."""
+    """``key`` columns and ``types``: error types of each group in order, runs of equal neighbours as one."""
     label = F.coalesce("name", F.lit("unknown"))
     rows = missing.withColumn("__label", label).withColumn("__was", F.lag(label).over(Window.partitionBy(*key).orderBy(*order)))
     kept = rows.where("__was is null or __was != __label")
     parts = F.array_sort(F.collect_list(F.struct(*order, "__label")))
-    return kept.groupBy(*key).agg(F.array_join(F.transform(parts, lambda s: s["__label"]), "|").alias("types"))
+    return kept.groupBy(*key).agg(F.array_join(F.transform(parts, lambda s: s["__label"]), ", ").alias("types"))

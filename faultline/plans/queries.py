@@ -378,7 +378,7 @@ def report_json_rows(spark, d):
     return m.select("fn", F.to_json(F.struct(F.coalesce("name", F.lit("Unknown")).alias("error_type"), F.lit("").alias("origin_file"))).alias("json"))
 
 
-@query(sql("SELECT fn, string_agg(label, '|' ORDER BY s, label) AS types FROM (SELECT fn, s, label, lag(label) OVER (PARTITION BY fn ORDER BY s, label) AS was FROM (SELECT fn, s, coalesce(name, 'unknown') AS label FROM direct)) WHERE was IS NULL OR was <> label GROUP BY fn"))
+@query(sql("SELECT fn, string_agg(label, ', ' ORDER BY s, label) AS types FROM (SELECT fn, s, label, lag(label) OVER (PARTITION BY fn ORDER BY s, label) AS was FROM (SELECT fn, s, coalesce(name, 'unknown') AS label FROM direct)) WHERE was IS NULL OR was <> label GROUP BY fn"))
 def help_types(spark, d):
     """Types in order of place, equal neighbours once."""
     f = load(spark, d)
