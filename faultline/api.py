@@ -136,9 +136,7 @@ class Analysis:
         p = self.program
         if self.options.types == "exact":
             return ExactResolver()
-        one = F.explode("params").alias("x")
-        known = p.functions.select("fn", one).select("fn", F.col("x.name").alias("variable"), F.get("x.types", F.lit(0)).alias("type"))
-        thrown = p.throws.where("kind = 'unknown' and variable is not null").join(known, ["fn", "variable"]).select("fn", "start", "type")
+        thrown = p.throws.where("kind = 'unknown' and hint is not null").select("fn", "start", F.col("hint").alias("type"))
         made = p.calls.alias("c").join(p.throws.where("kind = 'unknown'").select("fn", F.col("start").alias("t_start"), F.col("end").alias("t_end")).alias("t"), "fn").where("c.start > t_start and c.end <= t_end and c.start <= t_start + 12")
         result = p.functions.select(F.col("fn").alias("callee"), F.get("result", F.lit(0)).alias("type")).where("type is not null")
         bound = self.calls.select(F.col("caller").alias("fn"), "start", "callee")

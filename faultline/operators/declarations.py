@@ -13,7 +13,8 @@ def missing_declarations(propagated: DataFrame, declared: DataFrame, resolver: R
     """Rows of ``propagated`` (fn, kind, name, origin_fn, origin_start, ..) that ``declared`` (fn, error_type) doesn't cover.
 
     Named: some declared type fits.  Unknown: its type is resolved where it was thrown and then treated as named, and the
-    output names it; if it stays unknown, a declared ``unknown`` covers it.  A rethrow is never covered.
+    output names it; if it stays unknown, a declared ``unknown`` covers it.  A thrown union is its members.  A rethrow is
+    never covered.
     """
     resolver = resolver or ExactResolver()
     p = propagated
@@ -23,6 +24,10 @@ def missing_declarations(propagated: DataFrame, declared: DataFrame, resolver: R
         p = p.join(known, ["origin_fn", "origin_start"], "left")
         found = (F.col("kind") == "unknown") & F.col("__type").isNotNull()
         p = p.withColumn("name", F.when(found, F.col("__type")).otherwise(F.col("name"))).withColumn("kind", F.when(found, F.lit("named")).otherwise(F.col("kind"))).select(*propagated.columns)
+    aliases = getattr(resolver, "aliases", None)
+    if aliases is not None:  # each member of a thrown union must be covered
+        m = aliases.select(F.col("alias").alias("__alias"), F.col("member").alias("__member")).distinct()
+        p = p.join(m, (F.col("kind") == "named") & (F.col("name") == F.col("__alias")), "left").withColumn("name", F.coalesce("__member", "name")).select(*propagated.columns)
     d = declared.select(F.col("fn").alias("d_fn"), F.col("error_type").alias("declared")).distinct()
     fits = resolver.assignable(p.where("kind = 'named'").select(F.col("name").alias("thrown")), d)
     cover = d.join(fits, "declared").select("d_fn", "thrown").distinct()

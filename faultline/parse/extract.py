@@ -134,6 +134,7 @@ class Walk:
         self.facts, self.scopes, self.params = Facts(), [], []
         self.known: dict[str, list[str]] = {}  # annotated variables of the file; the last annotation counts
         self.in_class: str | None = None
+        self.hints: list[dict[str, list[str]]] = []  # annotated parameters of the functions around
 
     def span(self, n: Node | tuple) -> dict:
         start, end = (n.start, n.end) if isinstance(n, Node) else n
@@ -154,9 +155,17 @@ class Walk:
 
     def named(self, name, f: Node, doc: str | None) -> None:
         self.begin(name.text, (name.start, name.end), f, doc)
-        self.each(f.kids)
+        self.inside(f)
         self.scopes.pop()
 
+    def inside(self, f: Node) -> None:
+        self.hints.append(f.params)
+        self.each(f.kids)
+        self.hints.pop()
+
+    def _arrow(self, n: Node) -> None:
+        self.inside(n)
+
     def each(self, nodes: list[Node]) -> None:
         for n in nodes:
             self.visit(n)
@@ -176,7 +185,7 @@ class Walk:
         if n.name is not None:
             self.named(n.name, n, self.doc(n.start))
         else:
-            self.each(n.kids)
+            self.inside(n)
 
     def declarators(self, n: Node, doc_at: int, annotate: bool) -> None:
         for d in n.kids:
@@ -200,14 +209,22 @@ class Walk:
         else:
             self.visit(inner)
 
+    def hint(self, e: Node) -> str | None:
+        """The annotated type of a thrown parameter."""
+        if e.kind == "name":
+            for known in reversed(self.hints):
+                if types := known.get(e.text):
+                    return types[0]
+        return None
+
     def _throw(self, n: Node) -> None:
         e = n.value
         if e.kind == "name" and e.text in self.known:
             for t in self.known[e.text]:
-                self.add(self.facts.throws, {**self.span(n), "kind": NAMED, "name": t, "variable": e.text})
+                self.add(self.facts.throws, {**self.span(n), "kind": NAMED, "name": t, "hint": None})
         else:
             kind, name = thrown(e, self.params)
-            self.add(self.facts.throws, {**self.span(n), "kind": kind, "name": name, "variable": e.text if e.kind == "name" else None})
+            self.add(self.facts.throws, {**self.span(n), "kind": kind, "name": name, "hint": self.hint(e)})
         self.each(n.kids)
 
     def _call(self, n: Node) -> None:
@@ -263,7 +280,7 @@ class Walk:
         f = n.value
         self.begin(n.key.text, (n.key.start, n.key.end), f, self.doc(n.start))
         self.each(n.kids[:-1])
-        self.each(f.kids)
+        self.inside(f)
         self.scopes.pop()
 
     def _alias(self, n: Node) -> None:

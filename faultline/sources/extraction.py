@@ -13,7 +13,7 @@ from ..storage import materialize
 _SPAN = "struct<start: int, end: int>"
 SCHEMA = f"""path string, content_hash string, error string,
 functions array<struct<fn: string, file: string, name: string, start: int, end: int, name_start: int, name_end: int, name_line: int, is_async: boolean, class_name: string, has_body: boolean, comment: string, result: array<string>, params: array<struct<name: string, types: array<string>>>>>,
-throws array<struct<fn: string, start: int, end: int, kind: string, name: string, variable: string>>,
+throws array<struct<fn: string, start: int, end: int, kind: string, name: string, hint: string>>,
 calls array<struct<fn: string, callee_name: string, callee_start: int, callee_end: int, start: int, end: int, receiver: string>>,
 tries array<struct<fn: string, try_start: int, try_end: int, catch_start: int, catch_end: int, caught_types: array<string>>>,
 relations array<struct<child_file: string, child: string, child_span: {_SPAN}, parent: string, parent_span: {_SPAN}, kind: string>>,
