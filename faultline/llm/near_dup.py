@@ -17,12 +17,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import U, Words, blocks, mix, raw
-from .storage import materialize
+from .storage import materialize, open_fs
 
 SIGMAS = 4.5
 BLOCK_ROWS = 512
@@ -80,7 +82,7 @@ def _profiles(n: int, bands: int, rows: int, seed: int):
     mul = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) * U(2) + U(1)
     add = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
 
-    def part(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+    def part(ids: list, sets: list[np.ndarray], texts: pa.Array) -> pa.RecordBatch:
         size = np.array([len(s) for s in sets], np.int64)
         s1, s2 = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
         sketches: list = [None] * len(sets)
@@ -105,22 +107,19 @@ def _profiles(n: int, bands: int, rows: int, seed: int):
             for i, k, b in zip(some.tolist(), sketch, band):
                 sketches[i], keys[i] = k.tobytes(), b
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(size), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-            names=["id", "s1", "s2", "size", "sketch", "bands"],
+            [pa.array(ids, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(size), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64())), texts],
+            names=["id", "s1", "s2", "size", "sketch", "bands", "text"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, held, sets, total = batch.column(0).to_pylist(), [], [], 0
-            for i, s in zip(ids, gram_sets(batch.column(1), n)):
-                held.append(i)
+            ids, texts, first, sets, total = batch.column(0).to_pylist(), batch.column(1), 0, [], 0
+            for k, s in enumerate(gram_sets(texts, n), 1):
                 sets.append(s)
                 total += len(s)
-                if total > 200_000:
-                    yield part(held, sets)
-                    held, sets, total = [], [], 0
-            if held:
-                yield part(held, sets)
+                if total > 200_000 or k == len(ids):
+                    yield part(ids[first:k], sets, texts.slice(first, k - first))
+                    first, sets, total = k, [], 0
 
     return run
 
@@ -144,8 +143,28 @@ def _screened(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
     return pairs.join(sb, "b").join(sa, "a").select("a", "b", "ka", "kb").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of the pairs that reach the threshold on their whole n-gram sets; ``texts``: id, text."""
+def _fetched(ids: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(id, text) of some ids: each file of the written profiles is read where it lies by one task that knows which of its
+    rows are wanted, so that no other text moves.  A task gets at most as many ids as its file has rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, some in zip(batch.column(0).to_pylist(), batch.column(1)):
+                fs, at = open_fs(path if "://" in path else path.replace(":/", ":///", 1))
+                wanted = some.values
+                with fs.open_input_file(at) as f:
+                    for rows in pq.ParquetFile(f).iter_batches(512, columns=["id", "text"]):
+                        rows = rows.filter(pc.is_in(rows.column("id"), wanted))
+                        if rows.num_rows:
+                            yield rows
+
+    places = profiles.select("id", F.col("_metadata.file_path").alias("path")).join(ids, "id", "left_semi")
+    files = places.groupBy("path").agg(F.collect_set("id").alias("ids"))
+    return files.repartition("path").mapInArrow(run, "id long, text string")
+
+
+def _verified(pairs: DataFrame, profiles: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of the pairs that reach the threshold on their whole n-gram sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +175,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> D
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.float64())], names=["a", "b", "jaccard"])
 
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    some = materialize(texts.join(ids, "id", "left_semi"), "texts")
+    some = materialize(_fetched(ids, profiles), "texts")
     ta, tb = some.toDF("a", "ta"), some.toDF("b", "tb")
     found = pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, jaccard double")
     return found.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard")).where(F.col("jaccard") >= threshold)
@@ -204,7 +223,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     bands, rows = banding(threshold, recall)
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    schema = "id long, s1 long, s2 long, size long, sketch binary, bands array<long>"
+    schema = "id long, s1 long, s2 long, size long, sketch binary, bands array<long>, text string"
     profiles = materialize(source.mapInArrow(_profiles(n, bands, rows, seed), schema), "profiles")
     known = profiles.where("id is not null and size > 0")
     same = known.groupBy("s1", "s2", "size").agg(F.min("id").alias("text_class"))
@@ -217,12 +236,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialize(spread.join(leads.select("band", "lead"), "band"), "members")
     least = _ruled_out(bands * rows, threshold)
     pairs = members.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    texts = source.where("id is not null")
-    links = materialize(_verified(materialize(_screened(pairs, sketches, least), "pairs"), texts, n, threshold), "links")
+    links = materialize(_verified(materialize(_screened(pairs, sketches, least), "pairs"), profiles, n, threshold), "links")
     labels = components(links)
     rest = materialize(_rest(members.select("band", "id").distinct(), labels, sketches, least).join(pairs, ["a", "b"], "left_anti"), "pairs")
     if rest.limit(1).count():
-        links = materialize(links.union(_verified(rest, texts, n, threshold)), "links")
+        links = materialize(links.union(_verified(rest, profiles, n, threshold)), "links")
     # ids that came with several texts join the classes of all of them
     per_text = named.groupBy("id").agg(F.min("text_class").alias("text_class"))
     ties = named.join(per_text.toDF("id", "a"), "id").where("text_class != a").select("a", F.col("text_class").alias("b"))
