@@ -72,7 +72,7 @@ def _undone(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     letter[1:-1] = _LETTER[data] | _LEETS[data]
     plain = np.zeros(n + 2, bool)
     plain[1:-1] = _LETTER[data]
-    beside = (letter[:-2] & plain[2:]) | (plain[:-2] & letter[2:])
+    beside = plain[2:] | (plain[:-2] & letter[2:])
     out = np.where(_LEETS[data] & beside, _LEET[data], data)
     keep = ~(_DROP[data] & letter[:-2] & letter[2:] & (plain[:-2] | plain[2:]))
     total = np.concatenate(([0], np.cumsum(keep)))
