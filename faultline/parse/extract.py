@@ -224,7 +224,7 @@ class Walk:
                 self.add(self.facts.throws, {**self.span(n), "kind": NAMED, "name": t, "hint": None})
         else:
             kind, name = thrown(e, self.params)
-            self.add(self.facts.throws, {**self.span(n), "kind": kind, "name": name, "hint": self.hint(e)})
+            self.add(self.facts.throws, {**self.span(n), "kind": kind, "name": name, "hint": self.hint(e) if kind == UNKNOWN else None})
         self.each(n.kids)
 
     def _call(self, n: Node) -> None:
