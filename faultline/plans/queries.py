@@ -481,3 +481,82 @@ def fix_line_rewrite(spark, d):
     ins = t.where(F.col("path").cast("long") % 3 == 0).select("path", F.lit(0).alias("line"), F.explode(F.array(F.struct(F.lit(0).alias("o"), F.lit("/**").alias("t")), F.struct(F.lit(1).alias("o"), F.lit(" */").alias("t")))).alias("x")).select("path", "line", F.col("x.o").alias("ordinal"), F.col("x.t").alias("text"))
     out = insert_lines(t, ins)
     return out.select(F.col("path").cast("long").alias("doc_id"), (F.regexp_count("content", F.lit("\n")) + 1).cast("long").alias("n_lines"), F.sha2("content", 256).alias("digest"))
+
+
+# whole sources, generated from parts: one file a part
+
+
+def _generated(spark, d):
+    """A file a part: ``run`` throws an error named after the part's type, ``guard`` calls it inside a try whose catch deals
+    with everything, with that type, or with another type; ``outer`` calls ``guard``."""
+    k = F.col("p_size") % 3
+    catch = F.when(k == 0, F.lit("{ return; }")).when(k == 1, F.concat(F.lit("{ if (e instanceof "), "p_type", F.lit("Error) return; throw e; }"))).otherwise(F.lit("{ if (e instanceof Other) return; throw e; }"))
+    body = F.concat(
+        F.lit("// "), "p_name", F.lit(" é\nclass "), "p_type", F.lit("Error extends Error {}\nfunction run(x: string) {\n  if (!x) throw new "), "p_type", F.lit("Error(`"), "p_brand", F.lit("${x}`);\n}\n"),
+        F.lit("/** Guards. */\nconst guard = (x: string) => {\n  try { run(x); } catch (e) "), catch, F.lit("\n};\n/**\n * @throws {"), "p_brand", F.lit("}\n */\nexport function outer() { guard('a'); }\n"),
+    )
+    return table(spark, d, "part").select(F.format_string("/src/p%d.ts", "p_partkey").alias("path"), body.alias("content")).withColumn("content_hash", F.sha2("content", 256))
+
+
+def _program(spark, d):
+    from ..sources.extraction import extractions, program
+
+    return program(extractions(_generated(spark, d)))
+
+
+@query("SELECT '/src/p' || p_partkey || '.ts' AS file, f.name, CAST(f.line AS INTEGER) AS name_line, f.comment FROM part, (VALUES ('run', 3, NULL), ('guard', 7, '/** Guards. */'), ('outer', 13, '')) f(name, line, comment0), LATERAL (SELECT CASE WHEN f.name = 'outer' THEN '/**' || chr(10) || ' * @throws {' || p_brand || '}' || chr(10) || ' */' ELSE f.comment0 END AS comment)".replace("f.comment FROM", "comment FROM"))
+def extract_functions(spark, d):
+    return _program(spark, d).functions.select("file", "name", "name_line", "comment")
+
+
+@query("SELECT '/src/p' || p_partkey || '.ts' AS file, 'run' AS fn_name, 'named' AS kind, p_type || 'Error' AS name FROM part UNION ALL SELECT '/src/p' || p_partkey || '.ts', 'guard', 'rethrow', 'e' FROM part WHERE p_size % 3 <> 0")
+def extract_throws(spark, d):
+    p = _program(spark, d)
+    return p.throws.join(p.functions.select("fn", "file", F.col("name").alias("fn_name")), "fn").select("file", "fn_name", "kind", "name")
+
+
+@query("SELECT '/src/p' || p_partkey || '.ts' AS file, c.fn_name, c.callee_name FROM part, (VALUES ('guard', 'run'), ('outer', 'guard')) c(fn_name, callee_name)")
+def extract_calls(spark, d):
+    p = _program(spark, d)
+    return p.calls.join(p.functions.select("fn", "file", F.col("name").alias("fn_name")), "fn").select("file", "fn_name", "callee_name")
+
+
+@query("SELECT '/src/p' || p_partkey || '.ts' AS file, CASE p_size % 3 WHEN 1 THEN p_type || 'Error' WHEN 2 THEN 'Other' END AS caught FROM part")
+def extract_caught_types(spark, d):
+    p = _program(spark, d)
+    return p.tries.join(p.functions.select("fn", "file"), "fn").select("file", F.array_join("caught_types", ",").alias("c")).select("file", F.nullif("c", F.lit("")).alias("caught"))
+
+
+_FOUND = "found AS (SELECT p_partkey, f.fn_name, p_type || 'Error' AS name, f.ord FROM part, (VALUES ('run', 0), ('guard', 1), ('outer', 2)) f(fn_name, ord) WHERE f.fn_name = 'run' OR p_size % 3 = 2)"
+
+
+def _source_findings(spark, d):
+    p = _program(spark, d)
+    c = p.calls.join(p.functions.select("fn", "file"), "fn")
+    calls = resolution.by_name(c, p.functions).select(F.col("fn").alias("caller"), "callee", "start", "end")
+    direct = catching.uncaught(p.throws.select("fn", "start", "end", "kind", "name"), p.tries).select("fn", "kind", "name", F.col("fn").alias("origin_fn"), F.col("start").alias("origin_start"))
+    up = propagation.propagate(direct, calls, catching.blocked_edges(calls, catching.catchers(p.tries, p.throws)))
+    return p, declarations.missing_declarations(up, p.declared)
+
+
+@query("WITH " + _FOUND + " SELECT '/src/p' || p_partkey || '.ts' AS file, fn_name, name FROM found")
+def source_findings(spark, d):
+    """The whole analysis, from source texts to missing declarations."""
+    p, missing = _source_findings(spark, d)
+    return missing.join(p.functions.select("fn", "file", F.col("name").alias("fn_name")), "fn").select("file", "fn_name", "name")
+
+
+@query(
+    "SELECT '/src/p' || p_partkey || '.ts' AS path, '// ' || p_name || ' é' || chr(10) || 'class ' || p_type || 'Error extends Error {}' || chr(10) || '/**' || chr(10) || ' * @throws {' || p_type || 'Error} from p' || p_partkey || '.ts:run' || chr(10) || ' */' || chr(10) || 'function run(x: string) {' || chr(10) || '  if (!x) throw new ' || p_type || 'Error(`' || p_brand || '${x}`);' || chr(10) || '}' || chr(10)"
+    " || CASE WHEN p_size % 3 = 2 THEN '/** Guards.' || chr(10) || ' * @throws {' || p_type || 'Error} from p' || p_partkey || '.ts:run' || chr(10) || ' */' ELSE '/** Guards. */' END || chr(10) || 'const guard = (x: string) => {' || chr(10) || '  try { run(x); } catch (e) ' || CASE p_size % 3 WHEN 0 THEN '{ return; }' WHEN 1 THEN '{ if (e instanceof ' || p_type || 'Error) return; throw e; }' ELSE '{ if (e instanceof Other) return; throw e; }' END || chr(10) || '};' || chr(10) || '/**' || chr(10) || ' * @throws {' || p_brand || '}' || chr(10)"
+    " || CASE WHEN p_size % 3 = 2 THEN '  * @throws {' || p_type || 'Error} from p' || p_partkey || '.ts:run' || chr(10) || '  */' ELSE ' */' END || chr(10) || 'export function outer() { guard(''a''); }' || chr(10) AS content FROM part"
+)
+def fixed_sources(spark, d):
+    """The sources with the missing declarations written in."""
+    from ..sinks import fixes, insert_lines
+
+    p, missing = _source_findings(spark, d)
+    o = p.functions.select(F.col("fn").alias("origin_fn"), F.col("file").alias("origin_file"), F.col("name").alias("origin_name"))
+    m = missing.join(o, "origin_fn").select("fn", "kind", "name", "origin_file", "origin_name", F.col("depth").alias("ordinal"))
+    files = _generated(spark, d).select("path", "content")
+    return insert_lines(files, fixes(files, p.functions, m))
