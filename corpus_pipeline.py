@@ -10,31 +10,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 from faultline.llm import bpe, exact_dedup, mixing, near_dup, toxicity
 from faultline.llm.storage import materialize
+from faultline.session import ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.3; the model is fitted on the labelled ones."""
+    ship(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, with the smallest id, of each group of equal texts (A-Z lower-cased)."""
+    ship(spark)
     return exact_dedup.drop_exact_copies(docs)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, with the smallest id, of each group that n-gram Jaccard links connect."""
+    ship(spark)
     return near_dup.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target takes them, in the order of training."""
+    ship(spark)
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document of the mix."""
+    ship(spark)
     return bpe.encode(docs, outputs=("n_tokens", "ids_sha256", "decoded_sha256"), keep=["doc_id", "source"])
 
 
