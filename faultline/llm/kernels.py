@@ -140,6 +140,12 @@ class Index:
         self.most = int(np.max(np.diff(self.at))) if len(keys) else 0
         self.padded = np.concatenate((self.keys, np.zeros(self.most + 1, np.uint64)))
 
+    def __getstate__(self) -> np.ndarray:
+        return self.keys  # the rest is made again: it is larger than the keys
+
+    def __setstate__(self, keys: np.ndarray) -> None:
+        self.__init__(keys)
+
     def find(self, h: np.ndarray) -> np.ndarray:
         out = np.full(len(h), -1, np.int64)
         if not len(self.keys):
