@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 from ..storage import materialize
 
 
-def call_edges(calls: DataFrame, functions: DataFrame) -> DataFrame:
-    """(caller, callee, sites): ``calls`` (caller, callee, start, end) between known functions, sites sorted by position."""
+def call_sites(calls: DataFrame, functions: DataFrame) -> DataFrame:
+    """``calls`` (caller, callee, start, end) between known functions, a row a site.  Operators work on these rows, so an
+    edge with very many sites is never one row."""
     known = functions.select("fn").distinct()
-    c = calls.join(known.withColumnRenamed("fn", "caller"), "caller", "left_semi").join(known.withColumnRenamed("fn", "callee"), "callee", "left_semi")
-    return c.groupBy("caller", "callee").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("sites"))
+    return calls.join(known.withColumnRenamed("fn", "caller"), "caller", "left_semi").join(known.withColumnRenamed("fn", "callee"), "callee", "left_semi")
+
+
+def call_edges(calls: DataFrame, functions: DataFrame) -> DataFrame:
+    """(caller, callee, sites): edges with their sites in order, for readers; ``call_sites`` is what plans use."""
+    return call_sites(calls, functions).groupBy("caller", "callee").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("sites"))
 
 
 def sites_of(edges: DataFrame) -> DataFrame:

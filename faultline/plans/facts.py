@@ -38,8 +38,8 @@ def load(spark: SparkSession, sf_dir: str) -> Facts:
     )
     rethrows = views.where("event_id % 3 = 2").select(F.col("user_id").alias("fn"), F.col("end").alias("start"), (F.col("end") + 1).alias("end"), F.lit("rethrow").alias("kind"), F.lit("e").alias("name"))
     functions = ev.select(F.col("user_id").alias("fn")).distinct()
-    last = ev.agg(F.max("user_id").alias("m"))
-    calls = of("click").crossJoin(F.broadcast(last)).select(F.col("user_id").alias("caller"), ((F.col("event_id") * 7919) % (F.col("m") + 1)).alias("callee"), F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"))  # one row: the largest id
+    last = ev.agg(F.max("user_id")).first()[0] or 0
+    calls = of("click").select(F.col("user_id").alias("caller"), ((F.col("event_id") * 7919) % F.lit(last + 1)).alias("callee"), F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"))
     declared = of("signup").select(F.col("user_id").alias("fn"), F.concat(F.lit("E"), F.col("event_id") % 7).alias("error_type")).distinct()
     return Facts(functions, errors.unionByName(rethrows), tries, calls, declared)
 

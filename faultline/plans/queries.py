@@ -72,18 +72,20 @@ def throws_in_blocks(spark, d):
 
 
 def _edges(f):
-    return graph.call_edges(f.calls, f.functions)
+    return graph.call_sites(f.calls, f.functions)
 
 
 @query(sql("SELECT caller, callee, CAST(count(*) AS BIGINT) AS n_sites, CAST(min(s) AS BIGINT) AS first_site, CAST(max(s) AS BIGINT) AS last_site FROM calls WHERE caller IN (SELECT fn FROM functions) AND callee IN (SELECT fn FROM functions) GROUP BY ALL"))
 def call_edges(spark, d):
-    e = _edges(load(spark, d))
+    f = load(spark, d)
+    e = graph.call_edges(f.calls, f.functions)
     return e.select("caller", "callee", F.size("sites").cast("long").alias("n_sites"), F.col("sites")[0]["start"].alias("first_site"), F.element_at("sites", -1)["start"].alias("last_site"))
 
 
 @query(sql("SELECT caller, callee, s AS start FROM calls WHERE caller IN (SELECT fn FROM functions) AND callee IN (SELECT fn FROM functions)"))
 def call_sites(spark, d):
-    return graph.sites_of(_edges(load(spark, d))).select("caller", "callee", "start")
+    f = load(spark, d)
+    return graph.sites_of(graph.call_edges(f.calls, f.functions)).select("caller", "callee", "start")
 
 
 @query(sql("SELECT caller, callee FROM edges"))
@@ -102,7 +104,7 @@ def reachable_edges(spark, d):
 
 
 def _blocked(f):
-    return catching.blocked_edges(graph.sites_of(_edges(f)), catching.catchers(f.tries, f.throws))
+    return catching.blocked_edges(_edges(f), catching.catchers(f.tries, f.throws))
 
 
 @query(sql("SELECT p.caller, p.callee, p.kind, p.name FROM edge_pass p JOIN (SELECT DISTINCT fn, kind, name FROM direct) x ON x.fn = p.callee AND x.kind = p.kind AND x.name IS NOT DISTINCT FROM p.name"))
@@ -368,8 +370,8 @@ _MISSING = "missing AS (SELECT c.fn, c.kind, c.name FROM closure c WHERE NOT (c.
 @query(sql("SELECT CAST((SELECT count(*) FROM missing) AS BIGINT) AS errors, CAST((SELECT count(DISTINCT fn) FROM missing) AS BIGINT) AS functions_with_errors, CAST((SELECT count(*) FROM functions) AS BIGINT) AS files_checked", CLOSURE, _MISSING))
 def report_summary(spark, d):
     f = load(spark, d)
-    m = missing_declarations(spark, d).agg(F.count("*").alias("errors"), F.countDistinct("fn").alias("functions_with_errors"))
-    return m.crossJoin(f.functions.agg(F.count("*").alias("files_checked")))  # one row and one row
+    checked = f.functions.count()
+    return missing_declarations(spark, d).agg(F.count("*").alias("errors"), F.countDistinct("fn").alias("functions_with_errors"), F.lit(checked).cast("long").alias("files_checked"))
 
 
 @query(sql("SELECT fn, '{\"error_type\":\"' || coalesce(name, 'Unknown') || '\",\"origin_file\":\"\"}' AS json FROM missing WHERE kind <> 'rethrow'", CLOSURE, _MISSING))
@@ -467,8 +469,7 @@ def discovery_bfs(spark, d):
 def config_closure(spark, d):
     """Configurations that extend others: all that each depends on."""
     p = table(spark, d, "part")
-    n = p.agg(F.count("*").alias("n"))
-    refs = p.where("p_size % 2 = 0").crossJoin(F.broadcast(n)).select(F.col("p_partkey").alias("caller"), ((F.col("p_partkey") * 7 + F.col("p_size")) % F.col("n")).alias("callee"))  # one row: the count
+    refs = p.where("p_size % 2 = 0").select(F.col("p_partkey").alias("caller"), ((F.col("p_partkey") * 7 + F.col("p_size")) % F.lit(max(1, p.count()))).alias("callee"))
     return graph.reachable(refs).withColumnRenamed("fn", "config")
 
 

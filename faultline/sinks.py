@@ -95,7 +95,7 @@ def text_report(diagnostics: list[dict], violations: list[dict], files_checked:
         out += ["error: LSP violation - throws not declared in parent", f"  --> {v['file']}:{v['method']}", bar]
         out += [f"{bar} {x or 'Unknown'} is not declared in {v['parent_type']}.{v['parent_method']}" for x in v["errors"]]
         parent = "@throws {" + ", ".join(v["parent_declared"]) + "}" if v["parent_declared"] else "(no throws allowed)"
-        out += [bar, f"   = parent declares: {parent}", "   = help: handle the exception in the implementation or add @throws to the parent", ""]
+        out += [bar, f"   = parent declares: {parent}", "   = help: catch it in the implementation, or declare it in the parent", ""]
     errors = sum(len(d["missing"]) for d in diagnostics)
     return "\n".join([*out, f"Found {errors} errors, {len(violations)} LSP violations in {files_checked} files"]) + "\n"
 
