@@ -3,11 +3,10 @@
 1. Texts with equal n-gram sets become one class at once (least id), so groups of copies of any size are one row.
 2. Each class has a MinHash signature.  Rows per band and bands are chosen for the recall wanted at the threshold.
    A band's rows are hashed; the shuffle is on these hashes.
-3. In each bucket every member is paired with the least member only: pairs grow with the members, not their square.
-   Pairs that the signatures rule out (by ``SIGMAS`` standard deviations) go; the rest are verified on whole n-gram sets.
-4. Verified links give components.  A bucket whose members now are one component is done.  In the others, members outside
-   the bucket's largest component are compared, in blocks, with all its members by signature, and the pairs not ruled
-   out are verified.  No bucket is capped, and no bucket is held by one task.
+3. All members of a bucket are compared by signature, in blocks, and each pair in the first band that its members share.
+   Pairs that the signatures rule out (by ``SIGMAS`` standard deviations) go.
+4. The rest are verified on whole n-gram sets.  Pairs of one block stay together, so a text moves once a block that needs
+   it, not once a pair.  No bucket is capped, and no bucket is held by one task.
 """
 
 from __future__ import annotations
@@ -15,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
@@ -130,17 +128,90 @@ def _ruled_out(hashes: int, threshold: float) -> int:
     return max(0, int(np.floor(hashes * p - SIGMAS * np.sqrt(hashes * p * (1 - p)))))
 
 
+def _bytes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
 def _screened(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
-    """The pairs (a, b) whose sketches agree in at least ``least`` bytes."""
-    sa, sb = sketches.toDF("a", "ka"), sketches.toDF("b", "kb")
+    """(a, b, band, i, j): the pairs (a, b, band) whose sketches agree in at least ``least`` bytes, each a block of its own."""
+    sa, sb = sketches.select("id", "sketch").toDF("a", "ka"), sketches.select("id", "sketch").toDF("b", "kb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
-            keep = np.count_nonzero(x == y, axis=1) >= least if batch.num_rows else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep))
+            if batch.num_rows:
+                keep = np.count_nonzero(_bytes(batch.column(3)) == _bytes(batch.column(4)), axis=1) >= least
+                yield pa.RecordBatch.from_arrays(batch.columns[:3], names=["a", "b", "band"]).filter(pa.array(keep))
+
+    found = pairs.join(sb, "b").join(sa, "a").select("a", "b", "band", "ka", "kb").mapInArrow(run, "a long, b long, band long")
+    return found.select("*", F.lit(0).alias("i"), F.lit(0).alias("j"))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], decode) -> Iterator[list[np.ndarray]]:
+    """The rows of each block (band, i, j) together, as these columns and the arrays that ``decode`` makes of a batch; the
+    rows come sorted by block."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [*(c.to_numpy() for c in batch.columns[:3]), *decode(batch)]
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now)]
+        change = np.zeros(len(now[0]) - 1, bool)
+        for c in now[:3]:
+            change |= c[1:] != c[:-1]
+        at = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for s, e in zip(at, at[1:]):
+            yield [x[s:e] for x in now]
+        held = [x[at[-1] :] for x in now]
+    if held is not None:
+        yield held
+
+
+def _by_block(rows: DataFrame, *order: str) -> DataFrame:
+    return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", *order)
+
+
+def _compared(members: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
+    """(a, b, band, i, j): pairs of members (band, id, n) of a bucket that aren't ruled out, by the block that compared
+    them.  A pair that shares an earlier band as well is left to that band."""
+    wide = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+    own = members.withColumn("own", F.pmod(F.xxhash64("id"), wide).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), wide - 1)))
+    rows = own.join(sketches, "id").select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "sketch", "bands")
+
+    def decode(batch: pa.RecordBatch) -> list[np.ndarray]:
+        bands = batch.column(6).flatten().to_numpy().reshape(batch.num_rows, -1)
+        return [batch.column(3).to_numpy(), batch.column(4).to_numpy(), _bytes(batch.column(5)), bands]
 
-    return pairs.join(sb, "b").join(sa, "a").select("a", "b", "ka", "kb").mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        total = 0
+
+        def flush() -> pa.RecordBatch:
+            cols = [np.concatenate(c) for c in zip(*out)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "band", "i", "j"])
+
+        for band, i, j, own, ids, sketch, bands in _runs(batches, decode):
+            before = int((bands == band[0]).any(0).argmax())  # bands before this one
+            within = i[0] == j[0]
+            left, right = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])
+            rids, rsketch, rbands = ids[right], sketch[right], bands[right, :before]
+            for k, r in enumerate(left.tolist()):
+                s = k + 1 if within else 0
+                hit = (np.count_nonzero(rsketch[s:] == sketch[r], axis=1) >= least) & (rids[s:] != ids[r])
+                at = np.flatnonzero(hit) + s
+                if before and len(at):
+                    at = at[~(rbands[at] == bands[r, :before]).any(1)]
+                if len(at):
+                    m = len(at)
+                    out.append((np.minimum(rids[at], ids[r]), np.maximum(rids[at], ids[r]), band[:1].repeat(m), i[:1].repeat(m), j[:1].repeat(m)))
+                    total += m
+            if total > 50_000:
+                yield flush()
+                out, total = [], 0
+        if out:
+            yield flush()
+
+    return _by_block(rows).mapInArrow(run, "a long, b long, band long, i int, j int")
 
 
 def _fetched(ids: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -163,51 +234,55 @@ def _fetched(ids: DataFrame, profiles: DataFrame) -> DataFrame:
     return files.repartition("path").mapInArrow(run, "id long, text string")
 
 
+def _jaccard(ids: np.ndarray, sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaccard of each pair (a, b) of ``ids``, whose n-gram sets are ``sets``; of ids with several sets the largest one."""
+    order = np.argsort(ids, kind="stable")
+    ids, sets = ids[order], [sets[k] for k in order]
+    size = np.array([len(x) for x in sets], np.int64)
+    grams, code = np.unique(np.concatenate(sets), return_inverse=True)
+    codes = np.split(code, np.cumsum(size)[:-1])
+    ends = [(np.searchsorted(ids, x, "left"), np.searchsorted(ids, x, "right")) for x in (a, b)]
+    na, nb = (hi - lo for lo, hi in ends)
+    pair = np.repeat(np.arange(len(a)), na * nb)  # one row for each combination of sets
+    nth = np.arange(len(pair)) - np.repeat(np.cumsum(na * nb) - na * nb, na * nb)
+    x, y = ends[0][0][pair] + nth // nb[pair], ends[1][0][pair] + nth % nb[pair]
+    by = np.argsort(x, kind="stable")
+    pair, x, y = pair[by], x[by], y[by]
+    out, mark = np.zeros(len(a)), np.zeros(len(grams), bool)
+    at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))).tolist()
+    for s, e in zip(at, [*at[1:], len(x)]):
+        own, some = codes[x[s]], y[s:e]
+        mark[own] = True
+        both = np.add.reduceat(mark[np.concatenate([codes[k] for k in some])], np.cumsum(size[some]) - size[some], dtype=np.int64)
+        mark[own] = False
+        np.maximum.at(out, pair[s:e], both / (len(own) + size[some] - both))
+    return out
+
+
 def _verified(pairs: DataFrame, profiles: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of the pairs that reach the threshold on their whole n-gram sets."""
+    """(a, b, jaccard) of the pairs (a, b, band, i, j) that reach the threshold on their whole n-gram sets."""
+
+    def decode(batch: pa.RecordBatch) -> list[np.ndarray]:
+        is_text = batch.column(4).is_null()
+        sets = np.empty(batch.num_rows, object)
+        for k, s in zip(np.flatnonzero(is_text.to_numpy(zero_copy_only=False)).tolist(), gram_sets(batch.column(5).filter(is_text), n)):
+            sets[k] = s
+        return [batch.column(3).to_numpy(), batch.column(4).fill_null(0).to_numpy(), is_text.to_numpy(zero_copy_only=False), sets]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for x, y in zip(gram_sets(batch.column(2), n), gram_sets(batch.column(3), n)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(both / (len(x) + len(y) - both) if both else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.float64())], names=["a", "b", "jaccard"])
-
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    some = materialize(_fetched(ids, profiles), "texts")
-    ta, tb = some.toDF("a", "ta"), some.toDF("b", "tb")
-    found = pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, jaccard double")
-    return found.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard")).where(F.col("jaccard") >= threshold)
-
-
-def _rest(members: DataFrame, labels: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
-    """Pairs of different components that share a bucket and aren't ruled out: members outside the bucket's largest
-    component against all its members, block by block."""
-    named = members.join(labels, members.id == labels.node, "left").select("band", "id", F.coalesce("label", "id").alias("label"))
-    by = named.groupBy("band", "label").agg(F.count("*").alias("n"))
-    per = by.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("kinds"))
-    # with two members the leader was compared with the other; with one component there is nothing left to link
-    open_ = per.where("kinds > 1 and n > 2").select("band", F.col("top.label").alias("top"), "n", (F.col("n") - F.col("top.n")).alias("minor"))
-    rows = materialize(named.join(open_, "band").join(sketches, "id"), "open")
-    wide = lambda c: F.ceil(F.col(c) / BLOCK_ROWS).cast("int")
-    block = lambda c: F.pmod(F.xxhash64("id"), wide(c)).cast("int")
-    left = rows.where("label != top").select("band", block("minor").alias("i"), F.explode(F.sequence(F.lit(0), wide("n") - 1)).alias("j"), F.lit(True).alias("query"), "id", "label", "sketch")
-    right = rows.select("band", F.explode(F.sequence(F.lit(0), wide("minor") - 1)).alias("i"), block("n").alias("j"), F.lit(False).alias("query"), "id", "label", "sketch")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        q, r = group[group["query"]], group[~group["query"]]
-        out = []
-        if len(q) and len(r):
-            rows_of = lambda g: np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(len(g), -1)
-            all_, ids, labels_ = rows_of(r), r["id"].to_numpy(), r["label"].to_numpy()
-            for s, i, label in zip(rows_of(q), q["id"], q["label"]):
-                hit = np.flatnonzero((np.count_nonzero(all_ == s, axis=1) >= least) & (labels_ != label))
-                out.append(np.stack((np.minimum(ids[hit], i), np.maximum(ids[hit], i)), 1))
-        found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame(np.unique(found, axis=0), columns=["a", "b"]).astype("int64")
-
-    return left.union(right).groupBy("band", "i", "j").applyInPandas(run, "a long, b long").distinct()
+        for _, _, _, a, b, is_text, sets in _runs(batches, decode):
+            some = np.array([k for k in np.flatnonzero(is_text).tolist() if len(sets[k])], np.int64)
+            a_, b_ = a[~is_text], b[~is_text]
+            score = _jaccard(a[some], [sets[k] for k in some], a_, b_)
+            keep = score >= threshold
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(a_[keep]), pa.array(b_[keep]), pa.array(score[keep])], names=["a", "b", "jaccard"])
+
+    key = ["band", "i", "j"]
+    ids = materialize(pairs.select(*key, F.col("a").alias("id")).union(pairs.select(*key, "b")).distinct(), "wanted")
+    texts = ids.join(_fetched(ids.select("id").distinct(), profiles), "id").select(*key, F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    rows = texts.union(pairs.select(*key, "a", "b", F.lit(None).cast("string")))
+    return _by_block(rows).mapInArrow(run, "a long, b long, jaccard double")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.5, recall: float = 0.95, seed: int = 7) -> tuple[DataFrame, DataFrame]:
@@ -215,7 +290,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``classes``: one row per distinct id and text's n-gram set: ``id, class_id`` (least id of all that are linked, directly
     or through others), ``text_class`` (least id with the same n-gram set), ``n_links`` (verified links of that n-gram set).
-    ``links``: ``a, b, jaccard`` between different n-gram sets, named by their least ids, a < b or not.
+    ``links``: ``a, b, jaccard`` of all pairs found of different n-gram sets, named by their least ids, a < b.
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased; n-grams are of ``n`` words (a shorter text is
     one gram).  Null and empty texts have no grams: each is its own class without links.  Rows with a null id have null
@@ -230,17 +305,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = materialize(known.select("id", "s1", "s2", "size").join(same, ["s1", "s2", "size"]).select("id", "text_class").distinct(), "named")
     firsts = known.join(named.select(F.col("text_class").alias("id")).distinct(), "id", "left_semi")
     # an id may have come with several texts: its first sketch stands for it in the screen
-    sketches = materialize(firsts.groupBy("id").agg(F.min("sketch").alias("sketch")), "sketches")
+    sketches = firsts.groupBy("id").agg(F.min(F.struct("sketch", "bands")).alias("s")).select("id", "s.sketch", "s.bands")
+    sketches = materialize(sketches, "sketches")
     spread = firsts.select("id", F.explode("bands").alias("band"))
-    leads = spread.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    members = materialize(spread.join(leads.select("band", "lead"), "band"), "members")
+    buckets = spread.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).where("n > 1")
+    buckets = materialize(buckets, "buckets")
+    members = spread.join(buckets.where("n > 2").select("band", "n"), "band").distinct()
     least = _ruled_out(bands * rows, threshold)
-    pairs = members.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    links = materialize(_verified(materialize(_screened(pairs, sketches, least), "pairs"), profiles, n, threshold), "links")
-    labels = components(links)
-    rest = materialize(_rest(members.select("band", "id").distinct(), labels, sketches, least).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if rest.limit(1).count():
-        links = materialize(links.union(_verified(rest, profiles, n, threshold)), "links")
+    twos = buckets.where("n = 2 and a < b").groupBy("a", "b").agg(F.min("band").alias("band"))
+    pairs = _compared(members, sketches, least).union(_screened(twos, sketches, least))
+    pairs = pairs.groupBy("a", "b").agg(F.min(F.struct("band", "i", "j")).alias("at")).select("a", "b", "at.band", "at.i", "at.j")
+    links = materialize(_verified(materialize(pairs, "pairs"), profiles, n, threshold), "links")
     # ids that came with several texts join the classes of all of them
     per_text = named.groupBy("id").agg(F.min("text_class").alias("text_class"))
     ties = named.join(per_text.toDF("id", "a"), "id").where("text_class != a").select("a", F.col("text_class").alias("b"))

@@ -97,3 +97,18 @@ def test_odd_rows(spark, monkeypatch):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([5, 4, 2, None, 8, 8, 7], key=str)
     classes, links = near_duplicates(df.limit(0))
     assert classes.count() == links.count() == 0
+
+
+def test_all_links_within_components(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 16)
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(vocab) for _ in range(200)]
+    rows = [(i, " ".join(rng.choice(vocab) if rng.random() < 0.04 else w for w in base)) for i in range(80)]
+    sets = [grams(t) for _, t in rows]
+    want = {(a, b) for b in range(80) for a in range(b) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.5}
+    classes, links = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), recall=0.9999)
+    got = [(r.a, r.b) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert len(want) > 2000
+    assert {r.id: r.n_links for r in classes.collect()} == {i: sum(i in p for p in want) for i in range(80)}
