@@ -6,7 +6,8 @@ one bit at a time, until the trees' ranges hold the wanted number of candidates;
 
 A tree is cut into parts by leading bits, and a large part into blocks of bounded size, so that no task sees a whole tree
 and a hot string is only more blocks.  Two passes: ranges are counted for every level first (strings only), which fixes the
-level at which each query stops; then each block scores its part of the ranges.
+level at which each query stops; then each block scores its part of the ranges.  Queries in sparse regions, whose ranges
+within a part hold too few, go on in the same way over shorter parts, at last over whole trees.
 """
 
 from __future__ import annotations
@@ -101,11 +102,11 @@ def _ranges(hashes: np.ndarray, q: np.ndarray, level: np.ndarray) -> tuple[np.nd
     return np.searchsorted(hashes, low, "left"), np.searchsorted(hashes, low + (np.int64(1) << shift), "left")
 
 
-def _count(bits: int):
+def _count(bits: int, top: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         q, hashes = group[group["query"]], np.sort(group.loc[~group["query"], "hash"].to_numpy())
         h, out = q["hash"].to_numpy(), []
-        for level in range(bits, BITS + 1):
+        for level in range(bits, top + 1):
             lo, hi = _ranges(hashes, h, np.full(len(h), level, np.int64))
             some = hi > lo
             if not some.any():
@@ -174,20 +175,35 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
     entries = -n * math.log(1 - want / n) if want < n else math.inf
     level = 0 if entries == math.inf else int(math.floor(math.log2(trees * n / entries)))
     bits = min(16, max(0, level - 1))
-    queries = rows.where(is_query)
-    strings, asked = _hashed(rows, forest, bits, False), _hashed(queries, forest, bits, False)
     many = lambda c, m: F.greatest(F.ceil(c / F.lit(m)), F.lit(1)).cast("int")
-    sizes = strings.groupBy("tree", "part").agg(F.count("*").alias("a")).join(asked.groupBy("tree", "part").agg(F.count("*").alias("b")), ["tree", "part"])
-    sizes = materialize(sizes.select("tree", "part", many(F.col("a"), INDEX_ROWS).alias("ni"), many(F.col("b"), QUERY_ROWS).alias("nj")), "parts")
     group = ["tree", "part", "i", "j"]
-    if entries == math.inf:
-        stops = queries.select("id", F.lit(0).alias("stop")).distinct()
-    else:
-        seen = _blocks(strings, asked, sizes).groupBy(*group).applyInPandas(_count(bits), "id long, level int, n long").groupBy("id", "level").agg(F.sum("n").alias("n"))
-        stops = seen.groupBy("id").agg(F.coalesce(F.max(F.when(F.col("n") >= entries, F.col("level"))), F.lit(bits)).alias("stop"))
-    stops = materialize(stops, "stops")
-    asked = _hashed(queries, forest, bits, True).join(stops, "id").select("tree", "part", "hash", "id", "v", "stop")
-    found = _blocks(_hashed(rows, forest, bits, True), asked, sizes).groupBy(*group).applyInPandas(_score(k), "query_id long, vec_id long, score double")
+
+    def parts(strings: DataFrame, asked: DataFrame) -> DataFrame:
+        sizes = strings.groupBy("tree", "part").agg(F.count("*").alias("a")).join(asked.groupBy("tree", "part").agg(F.count("*").alias("b")), ["tree", "part"])
+        return materialize(sizes.select("tree", "part", many(F.col("a"), INDEX_ROWS).alias("ni"), many(F.col("b"), QUERY_ROWS).alias("nj")), "parts")
+
+    queries, top, found = rows.where(is_query), BITS, None
+    while True:
+        strings, asked = _hashed(rows, forest, bits, False), _hashed(queries, forest, bits, False)
+        sizes = parts(strings, asked)
+        if entries == math.inf:
+            stops = queries.select("id", F.lit(0).alias("stop")).distinct()
+        else:
+            seen = _blocks(strings, asked, sizes).groupBy(*group).applyInPandas(_count(bits, top), "id long, level int, n long").groupBy("id", "level").agg(F.sum("n").alias("n"))
+            stop = F.max(F.when(F.col("n") >= entries, F.col("level")))
+            stops = seen.groupBy("id").agg((stop if bits else F.coalesce(stop, F.lit(0))).alias("stop"))
+        stops = materialize(stops, "stops")
+        open_ = stops.where("stop is null")
+        more = bits > 0 and open_.limit(1).count() > 0
+        if more:
+            stops = stops.where("stop is not null")
+            sizes = parts(strings, asked.join(stops, "id", "left_semi"))
+        asked = _hashed(queries, forest, bits, True).join(stops, "id").select("tree", "part", "hash", "id", "v", "stop")
+        some = _blocks(_hashed(rows, forest, bits, True), asked, sizes).groupBy(*group).applyInPandas(_score(k), "query_id long, vec_id long, score double")
+        found = some if found is None else found.union(some)
+        if not more:
+            break
+        queries, top, bits = queries.join(open_, "id", "left_semi"), bits - 1, bits // 2
     one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = one.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -73,3 +73,21 @@ def test_recall_on_the_table(spark):
     want = brute(rows, [i for i, _ in rows if i % 50 == 0])
     got = op7_hash_forest(spark, d).collect()
     assert sum(r.vec_id in {i for i, _ in want[r.query_id]} for r in got) / (5 * len(want)) >= 0.9
+
+
+def test_query_opposite_a_cone(spark):
+    from pyspark.sql import functions as F
+
+    n, dim = 3000, 32
+    rng = np.random.default_rng(4)
+    axis = rng.standard_normal(dim)
+    axis /= np.linalg.norm(axis)
+    x = axis + 0.02 * rng.standard_normal((n, dim))
+    x[0] = -axis
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    asked = range(0, n, 200)
+    want = brute(rows, asked)
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 200 == 0).orderBy("rank").collect()
+    assert {q: sum(r.query_id == q for r in got) for q in asked} == dict.fromkeys(asked, 5)
+    assert [r.vec_id for r in got if r.query_id == 0] == [i for i, _ in want[0]]
+    assert sum(r.vec_id in {i for i, _ in want[r.query_id]} for r in got) / (5 * len(want)) >= 0.9
