@@ -304,9 +304,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = known.groupBy("s1", "s2", "size").agg(F.min("id").alias("text_class"))
     named = materialize(known.select("id", "s1", "s2", "size").join(same, ["s1", "s2", "size"]).select("id", "text_class").distinct(), "named")
     firsts = known.join(named.select(F.col("text_class").alias("id")).distinct(), "id", "left_semi")
-    # an id may have come with several texts: its first sketch stands for it in the screen
-    sketches = firsts.groupBy("id").agg(F.min(F.struct("sketch", "bands")).alias("s")).select("id", "s.sketch", "s.bands")
-    sketches = materialize(sketches, "sketches")
+    # an id may have come with several texts: a pair passes the screen by any of their sketches
+    sketches = materialize(firsts.select("id", "sketch", "bands").distinct(), "sketches")
     spread = firsts.select("id", F.explode("bands").alias("band"))
     buckets = spread.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).where("n > 1")
     buckets = materialize(buckets, "buckets")

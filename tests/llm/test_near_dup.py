@@ -112,3 +112,11 @@ def test_all_links_within_components(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want
     assert len(want) > 2000
     assert {r.id: r.n_links for r in classes.collect()} == {i: sum(i in p for p in want) for i in range(80)}
+
+
+def test_each_text_of_an_id_is_linked(spark):
+    one, two = [" ".join(f"{c}{i}" for i in range(100)) for c in "xy"]
+    rows = [(1, one), (1, two), (2, one + " tail"), (3, two + " tail")]
+    classes, links = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), recall=0.9999)
+    assert sorted((r.a, r.b) for r in links.collect()) == [(1, 2), (1, 3)]
+    assert {(r.id, r.class_id) for r in classes.collect()} == {(1, 1), (2, 1), (3, 1)}
