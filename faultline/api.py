@@ -29,14 +29,14 @@ class AnalysisError(ValueError):
 class Options:
     """``types``: 'exact' (equal names) or 'structural' (hierarchy, aliases, annotations).  ``cross_file``: follow relative
     imports into other files, ``max_depth`` rounds.  ``receivers``: bind member calls by the receiver's annotated class.
-    ``parity``: a try without catch catches everything."""
+    ``parity``: a try without catch catches everything.  ``max_files``: files analysed at most; None, all."""
 
     types: str = "structural"
     cross_file: bool = True
     receivers: bool = True
     parity: bool = False
     max_depth: int = 10
-    max_files: int = 1000
+    max_files: int | None = None
     cache_dir: str | None = None
 
 
@@ -78,7 +78,8 @@ class Analysis:
             # a listing of paths, as the scan's own: which imported files exist
             wanted = part.select(F.explode("imports").alias("i")).where("i.source like '.%'").select("i.file", "i.source").distinct().collect()
             fresh = sorted({os.path.realpath(c) for r in wanted for c in [next((c for c in _candidates(r.file, r.source) if os.path.isfile(c)), None)] if c and c.endswith(scan.EXTENSIONS) and "/node_modules/" not in c} - known)
-            fresh = fresh[: max(0, o.max_files - len(known))]
+            if o.max_files is not None:
+                fresh = fresh[: max(0, o.max_files - len(known))]
             if not fresh:
                 break
             known |= set(fresh)

@@ -140,3 +140,9 @@ def test_stream(spark, tree, tmp_path):
     follow(spark, str(tree), target, mark).awaitTermination()
     rows = current(spark, target).collect()
     assert len(rows) == len(FILES) + 1 and sum(len(r.functions) for r in rows if r.path.endswith("new.ts")) == 1
+
+
+def test_no_cap_on_files_by_default(spark, tmp_path):
+    for i in range(1001):
+        (tmp_path / f"f{i}.ts").write_text("")
+    assert len(Analysis(spark, [str(tmp_path)]).files) == 1001
