@@ -1,12 +1,14 @@
 """N-gram Jaccard join (operator 2): MinHash banding with verification on full n-gram sets.
 
-1. Texts with equal n-gram sets become one class at once (least id), so groups of copies of any size are one row.
-2. Each class has a MinHash signature.  Rows per band and bands are chosen for the recall wanted at the threshold.
-   A band's rows are hashed; the shuffle is on these hashes.
-3. All members of a bucket are compared by signature, in blocks, and each pair in the first band that its members share.
-   Pairs that the signatures rule out (by ``SIGMAS`` standard deviations) go.
-4. The rest are verified on whole n-gram sets.  Pairs of one block stay together, so a text moves once a block that needs
-   it, not once a pair.  No bucket is capped, and no bucket is held by one task.
+1. Texts with equal n-gram sets become one class at once, so groups of copies of any size are one row.
+2. Each class has a MinHash signature (16 bits a hash).  Rows per band and bands are chosen for the recall wanted at the
+   threshold.  A band's rows are its key; the shuffle is on these keys.  Two classes are candidates if they share a key.
+3. Buckets that share members are put together, so that a class moves once and not once a bucket.  Where this would bring
+   together far more than the buckets themselves hold (chains of loosely related texts), the buckets are compared by
+   signature first, and only what agrees stays together.
+4. Groups are compared in blocks of bounded size: pairs that the signatures rule out (by ``sigmas`` standard deviations)
+   go, the rest of the candidates are verified on whole n-gram sets.  A block gives each class's number of links and a
+   spanning forest of its links, so what leaves it grows with its members, not with its pairs.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,10 @@ from .kernels import U, Words, blocks, mix, raw
 from .storage import materialize, open_fs
 
 SIGMAS = 4.5
-BLOCK_ROWS = 512
+#: A block has at most about so many classes of either side, and so many n-grams.
+BLOCK_ROWS, BLOCK_GRAMS = 2048, 1 << 21
+#: Rows that are handled together, so that small blocks share their costs.
+BATCH_ROWS = 2048
 
 
 def banding(threshold: float, recall: float, most: int = 256) -> tuple[int, int]:
@@ -82,32 +86,19 @@ def _profiles(n: int, bands: int, rows: int, seed: int):
 
     def part(ids: list, sets: list[np.ndarray], texts: pa.Array) -> pa.RecordBatch:
         size = np.array([len(s) for s in sets], np.int64)
-        s1, s2 = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
-        sketches: list = [None] * len(sets)
-        keys: list = [None] * len(sets)
+        key, signatures = np.zeros(len(sets), np.uint64), [None] * len(sets)
         some = np.flatnonzero(size)
         if len(some):
             flat = np.concatenate([sets[i] for i in some])
             at = np.concatenate(([0], np.cumsum(size[some])[:-1]))
-            s1[some] = np.add.reduceat(mix(flat), at)
-            s2[some] = np.add.reduceat(mix(flat ^ U(0xA5A5A5A55A5A5A5A)), at)
+            s1, s2 = np.add.reduceat(mix(flat), at), np.add.reduceat(mix(flat ^ U(0xA5A5A5A55A5A5A5A)), at)
+            key[some] = mix(s1 ^ mix(s2 + size[some].astype(np.uint64)))
             sig = np.empty((len(some), bands * rows), np.uint64)
             for k in range(bands * rows):
                 sig[:, k] = np.minimum.reduceat((flat ^ add[k]) * mul[k] >> U(16), at)
-            sketch = (mix(sig) & U(255)).astype(np.uint8)
-            band = np.empty((len(some), bands), np.uint64)
-            for b in range(bands):
-                h = np.full(len(some), b + 1, np.uint64)
-                for r in range(rows):
-                    h = mix(h * U(0x9E3779B97F4A7C15) + sig[:, b * rows + r])
-                band[:, b] = h
-            band = band.view(np.int64)
-            for i, k, b in zip(some.tolist(), sketch, band):
-                sketches[i], keys[i] = k.tobytes(), b
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(size), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64())), texts],
-            names=["id", "s1", "s2", "size", "sketch", "bands", "text"],
-        )
+            for i, k in zip(some.tolist(), (mix(sig) & U(0xFFFF)).astype(np.uint16)):
+                signatures[i] = k.tobytes()
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(key.view(np.int64), mask=size == 0), pa.array(size), pa.array(signatures, pa.binary()), texts], names=["id", "t", "size", "sig", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,212 +113,291 @@ def _profiles(n: int, bands: int, rows: int, seed: int):
     return run
 
 
-def _ruled_out(hashes: int, threshold: float) -> int:
-    """Least number of equal sketch bytes with which a pair may still reach the threshold."""
-    p = threshold + (1 - threshold) / 256
-    return max(0, int(np.floor(hashes * p - SIGMAS * np.sqrt(hashes * p * (1 - p)))))
-
-
-def _bytes(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
-
-
-def _screened(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
-    """(a, b, band, i, j): the pairs (a, b, band) whose sketches agree in at least ``least`` bytes, each a block of its own."""
-    sa, sb = sketches.select("id", "sketch").toDF("a", "ka"), sketches.select("id", "sketch").toDF("b", "kb")
+def _keys(bands: int, rows: int):
+    """(t, band) of signatures (t, sig): a row a band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                keep = np.count_nonzero(_bytes(batch.column(3)) == _bytes(batch.column(4)), axis=1) >= least
-                yield pa.RecordBatch.from_arrays(batch.columns[:3], names=["a", "b", "band"]).filter(pa.array(keep))
+        for big in batches:
+            for s in range(0, big.num_rows, 2000):
+                batch = big.slice(s, 2000)
+                sig = _signatures(batch.column(1)).reshape(batch.num_rows, bands, rows).astype(np.uint64)
+                h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), sig.shape[:2])
+                for r in range(rows):
+                    h = mix(h * U(0x9E3779B97F4A7C15) + sig[:, :, r])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), bands)), pa.array(h.reshape(-1).view(np.int64))], names=["t", "band"])
 
-    found = pairs.join(sb, "b").join(sa, "a").select("a", "b", "band", "ka", "kb").mapInArrow(run, "a long, b long, band long")
-    return found.select("*", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch], decode) -> Iterator[list[np.ndarray]]:
-    """The rows of each block (band, i, j) together, as these columns and the arrays that ``decode`` makes of a batch; the
-    rows come sorted by block."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = [*(c.to_numpy() for c in batch.columns[:3]), *decode(batch)]
-        if held is not None:
-            now = [np.concatenate(x) for x in zip(held, now)]
-        change = np.zeros(len(now[0]) - 1, bool)
-        for c in now[:3]:
-            change |= c[1:] != c[:-1]
-        at = [0, *(np.flatnonzero(change) + 1).tolist()]
-        for s, e in zip(at, at[1:]):
-            yield [x[s:e] for x in now]
-        held = [x[at[-1] :] for x in now]
-    if held is not None:
-        yield held
-
-
-def _by_block(rows: DataFrame, *order: str) -> DataFrame:
-    return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", *order)
-
-
-def _compared(members: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
-    """(a, b, band, i, j): pairs of members (band, id, n) of a bucket that aren't ruled out, by the block that compared
-    them.  A pair that shares an earlier band as well is left to that band."""
-    wide = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-    own = members.withColumn("own", F.pmod(F.xxhash64("id"), wide).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), wide - 1)))
-    rows = own.join(sketches, "id").select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "sketch", "bands")
-
-    def decode(batch: pa.RecordBatch) -> list[np.ndarray]:
-        bands = batch.column(6).flatten().to_numpy().reshape(batch.num_rows, -1)
-        return [batch.column(3).to_numpy(), batch.column(4).to_numpy(), _bytes(batch.column(5)), bands]
+def _ruled_out(hashes: int, threshold: float, sigmas: float | None) -> int:
+    """Least number of equal hashes with which a pair may still reach the threshold."""
+    if sigmas is None:
+        return 0
+    p = threshold + (1 - threshold) / 65536
+    return max(0, int(np.floor(hashes * p - sigmas * np.sqrt(hashes * p * (1 - p)))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        total = 0
-
-        def flush() -> pa.RecordBatch:
-            cols = [np.concatenate(c) for c in zip(*out)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "band", "i", "j"])
-
-        for band, i, j, own, ids, sketch, bands in _runs(batches, decode):
-            before = int((bands == band[0]).any(0).argmax())  # bands before this one
-            within = i[0] == j[0]
-            left, right = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])
-            rids, rsketch, rbands = ids[right], sketch[right], bands[right, :before]
-            for k, r in enumerate(left.tolist()):
-                s = k + 1 if within else 0
-                hit = (np.count_nonzero(rsketch[s:] == sketch[r], axis=1) >= least) & (rids[s:] != ids[r])
-                at = np.flatnonzero(hit) + s
-                if before and len(at):
-                    at = at[~(rbands[at] == bands[r, :before]).any(1)]
-                if len(at):
-                    m = len(at)
-                    out.append((np.minimum(rids[at], ids[r]), np.maximum(rids[at], ids[r]), band[:1].repeat(m), i[:1].repeat(m), j[:1].repeat(m)))
-                    total += m
-            if total > 50_000:
-                yield flush()
-                out, total = [], 0
-        if out:
-            yield flush()
-
-    return _by_block(rows).mapInArrow(run, "a long, b long, band long, i int, j int")
-
-
-def _fetched(ids: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(id, text) of some ids: each file of the written profiles is read where it lies by one task that knows which of its
-    rows are wanted, so that no other text moves.  A task gets at most as many ids as its file has rows."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, some in zip(batch.column(0).to_pylist(), batch.column(1)):
-                fs, at = open_fs(path if "://" in path else path.replace(":/", ":///", 1))
-                wanted = some.values
-                with fs.open_input_file(at) as f:
-                    for rows in pq.ParquetFile(f).iter_batches(512, columns=["id", "text"]):
-                        rows = rows.filter(pc.is_in(rows.column("id"), wanted))
-                        if rows.num_rows:
-                            yield rows
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
+
 
-    places = profiles.select("id", F.col("_metadata.file_path").alias("path")).join(ids, "id", "left_semi")
-    files = places.groupBy("path").agg(F.collect_set("id").alias("ids"))
-    return files.repartition("path").mapInArrow(run, "id long, text string")
+def _blocked(members: DataFrame, reps: DataFrame, text: DataFrame | None) -> DataFrame:
+    """(grp, i, j, own, t, sig, text): the rows of each block; members: (grp, t, wide), wide being the group's number of
+    parts.  Sorted by block within partitions; a group of many parts is many blocks, which stand anywhere."""
+    own = members.withColumn("own", F.pmod(F.xxhash64("t"), F.col("wide")).cast("int")).join(reps.select("t", "sig"), "t")
+    own = own.join(text, "t") if text is not None else own.withColumn("text", F.lit(None).cast("string"))
+    rows = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("wide") - 1))).select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "t", "sig", "text")
+    return rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
 
 
-def _jaccard(ids: np.ndarray, sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard of each pair (a, b) of ``ids``, whose n-gram sets are ``sets``; of ids with several sets the largest one."""
-    order = np.argsort(ids, kind="stable")
-    ids, sets = ids[order], [sets[k] for k in order]
-    size = np.array([len(x) for x in sets], np.int64)
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows, edges between blocks) of some whole blocks each."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for big in batches:
+        for s in range(0, big.num_rows, BATCH_ROWS):
+            held.append(big.slice(s, BATCH_ROWS))
+            size += held[-1].num_rows
+            if size < BATCH_ROWS:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks()
+            edge = _edges(rows)
+            if len(edge) > 2:  # the last block may go on
+                yield rows.slice(0, edge[-2]), edge[:-1]
+                rows = rows.slice(edge[-2])
+            held, size = rows.to_batches(), rows.num_rows if len(edge) > 2 else 0
+    if held:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        yield rows, _edges(rows)
+
+
+def _edges(rows: pa.Table) -> np.ndarray:
+    change = np.zeros(max(0, rows.num_rows - 1), bool)
+    for c in rows.columns[:3]:
+        x = c.to_numpy()
+        change |= x[1:] != x[:-1]
+    return np.concatenate(([0], np.flatnonzero(change) + 1, [rows.num_rows]))
+
+
+def _candidates(rows: pa.Table, edge: np.ndarray, bands: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one block that share a band and agree in at least ``least`` hashes."""
+    i, j, own = (rows.column(k).to_numpy() for k in (1, 2, 3))
+    sig = _signatures(rows.column(5))
+    xs, ys = [], []
+    two = edge[:-1][np.diff(edge) == 2]
+    two = two[(i[two] == j[two]) | (own[two] != own[two + 1])]
+    if len(two):
+        two = two[np.count_nonzero(sig[two] == sig[two + 1], axis=1) >= least]
+        xs.append(two)
+        ys.append(two + 1)
+    for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        if e - s < 3:
+            continue
+        within = i[s] == j[s]
+        left, right = s + np.flatnonzero(own[s:e] == i[s]), s + np.flatnonzero(own[s:e] == j[s])
+        other = sig[right]
+        for k, r in enumerate(left.tolist()):
+            f = k + 1 if within else 0
+            at = right[f:][np.count_nonzero(other[f:] == sig[r], axis=1) >= least]
+            if len(at):
+                xs.append(np.full(len(at), r))
+                ys.append(at)
+    if not xs:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    x, y = np.concatenate(xs).astype(np.int64), np.concatenate(ys).astype(np.int64)
+    wide = sig.reshape(len(sig), bands, -1)
+    wide = np.ascontiguousarray(wide).view(np.uint64)[:, :, 0] if wide.shape[2] == 4 else wide
+    share = np.zeros(len(x), bool)
+    for s in range(0, len(x), 8192):
+        same = wide[x[s : s + 8192]] == wide[y[s : s + 8192]]
+        share[s : s + 8192] = (same.all(2) if same.ndim == 3 else same).any(1)
+    return x[share], y[share]
+
+
+def spanning(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of pairs (x, y) of n nodes that connect all that the pairs connect, without cycles."""
+    label, left, kept = np.arange(n), np.arange(len(x)), []
+    while True:
+        a, b = label[x[left]], label[y[left]]
+        open_ = a != b
+        left, a, b = left[open_], a[open_], b[open_]
+        if not len(left):
+            return np.sort(np.concatenate(kept)) if kept else left
+        first = np.full(n, len(x))
+        for ends in (a, b):  # the least pair of each label: the last that is written
+            low = np.full(n, len(x))
+            low[ends[::-1]] = left[::-1]
+            np.minimum(first, low, out=first)
+        chosen = np.unique(first[first < len(x)])
+        kept.append(chosen)
+        a, b, parent = label[x[chosen]], label[y[chosen]], np.arange(n)
+        while True:
+            low, now = np.minimum(parent[a], parent[b]), parent.copy()
+            np.minimum.at(now, a, low)
+            np.minimum.at(now, b, low)
+            now = now[now]
+            if (now == parent).all():
+                break
+            parent = now
+        label = parent[label]
+
+
+def _jaccard(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Jaccard of each pair (x, y) of numbers of ``sets``; pairs of one x stand together."""
+    size = np.array([len(s) for s in sets], np.int64)
     grams, code = np.unique(np.concatenate(sets), return_inverse=True)
     codes = np.split(code, np.cumsum(size)[:-1])
-    ends = [(np.searchsorted(ids, x, "left"), np.searchsorted(ids, x, "right")) for x in (a, b)]
-    na, nb = (hi - lo for lo, hi in ends)
-    pair = np.repeat(np.arange(len(a)), na * nb)  # one row for each combination of sets
-    nth = np.arange(len(pair)) - np.repeat(np.cumsum(na * nb) - na * nb, na * nb)
-    x, y = ends[0][0][pair] + nth // nb[pair], ends[1][0][pair] + nth % nb[pair]
-    by = np.argsort(x, kind="stable")
-    pair, x, y = pair[by], x[by], y[by]
-    out, mark = np.zeros(len(a)), np.zeros(len(grams), bool)
+    out, mark = np.zeros(len(x)), np.zeros(len(grams), bool)
     at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))).tolist()
     for s, e in zip(at, [*at[1:], len(x)]):
-        own, some = codes[x[s]], y[s:e]
+        own = codes[x[s]]
         mark[own] = True
-        both = np.add.reduceat(mark[np.concatenate([codes[k] for k in some])], np.cumsum(size[some]) - size[some], dtype=np.int64)
+        for f in range(s, e, 4096):
+            some = y[f : min(e, f + 4096)]
+            both = np.add.reduceat(mark[np.concatenate([codes[k] for k in some])], np.cumsum(size[some]) - size[some], dtype=np.int64)
+            out[f : f + len(some)] = both / (len(own) + size[some] - both)
         mark[own] = False
-        np.maximum.at(out, pair[s:e], both / (len(own) + size[some] - both))
     return out
 
 
-def _verified(pairs: DataFrame, profiles: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of the pairs (a, b, band, i, j) that reach the threshold on their whole n-gram sets."""
+def _screened(bands: int, least: int):
+    """(a, b): a spanning forest of each block's candidates."""
 
-    def decode(batch: pa.RecordBatch) -> list[np.ndarray]:
-        is_text = batch.column(4).is_null()
-        sets = np.empty(batch.num_rows, object)
-        for k, s in zip(np.flatnonzero(is_text.to_numpy(zero_copy_only=False)).tolist(), gram_sets(batch.column(5).filter(is_text), n)):
-            sets[k] = s
-        return [batch.column(3).to_numpy(), batch.column(4).fill_null(0).to_numpy(), is_text.to_numpy(zero_copy_only=False), sets]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, edge in _whole_blocks(batches):
+            x, y = _candidates(rows, edge, bands, least)
+            k = spanning(x, y, rows.num_rows)
+            t = rows.column(4).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(t[x[k]]), pa.array(t[y[k]])], names=["a", "b"])
+
+    return run
+
+
+def _linked(n: int, bands: int, least: int, threshold: float, every: bool):
+    """(a, b, jaccard, n): links (all, or a spanning forest of each block's) with n null, and a's number of links in the
+    block with b null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, a, b, is_text, sets in _runs(batches, decode):
-            some = np.array([k for k in np.flatnonzero(is_text).tolist() if len(sets[k])], np.int64)
-            a_, b_ = a[~is_text], b[~is_text]
-            score = _jaccard(a[some], [sets[k] for k in some], a_, b_)
-            keep = score >= threshold
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(a_[keep]), pa.array(b_[keep]), pa.array(score[keep])], names=["a", "b", "jaccard"])
-
-    key = ["band", "i", "j"]
-    ids = materialize(pairs.select(*key, F.col("a").alias("id")).union(pairs.select(*key, "b")).distinct(), "wanted")
-    texts = ids.join(_fetched(ids.select("id").distinct(), profiles), "id").select(*key, F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
-    rows = texts.union(pairs.select(*key, "a", "b", F.lit(None).cast("string")))
-    return _by_block(rows).mapInArrow(run, "a long, b long, jaccard double")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.5, recall: float = 0.95, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+        for rows, edge in _whole_blocks(batches):
+            x, y = _candidates(rows, edge, bands, least)
+            if not len(x):
+                continue
+            some, at = np.unique(np.concatenate((x, y)), return_inverse=True)
+            sets = list(gram_sets(rows.column(6).take(pa.array(some)), n))
+            x, y = at[: len(x)], at[len(x) :]
+            order = np.argsort(x, kind="stable")
+            x, y = x[order], y[order]
+            score = _jaccard(sets, x, y)
+            ok = score >= threshold
+            x, y, score = x[ok], y[ok], score[ok]
+            t = rows.column(4).to_numpy()[some]
+            if not every:
+                count = np.bincount(x, minlength=len(t)) + np.bincount(y, minlength=len(t))
+                has = np.flatnonzero(count)
+                none = pa.nulls(len(has), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(t[has]), none, none.cast(pa.float64()), pa.array(count[has].astype(np.int64))], names=["a", "b", "jaccard", "n"])
+                k = spanning(x, y, len(t))
+                x, y, score = x[k], y[k], score[k]
+            for s in range(0, len(x), 100_000):
+                a, b = t[x[s : s + 100_000]], t[y[s : s + 100_000]]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(score[s : s + 100_000]), pa.nulls(len(a), pa.int64())], names=["a", "b", "jaccard", "n"])
+
+    return run
+
+
+def _fetched(wanted: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(t, text) of some classes: each file of the written profiles is read where it lies by one task that knows which of
+    its rows are wanted, so that no other text moves.  A task gets at most as many keys as its file has rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, some in zip(batch.column(0).to_pylist(), batch.column(1)):
+                fs, at = open_fs(path if "://" in path else path.replace(":/", ":///", 1))
+                left = np.sort(some.values.to_numpy())
+                with fs.open_input_file(at) as f:
+                    for rows in pq.ParquetFile(f).iter_batches(512, columns=["t", "text"]):
+                        t = rows.column(0).fill_null(0).to_numpy()
+                        first = np.zeros(len(t), bool)
+                        first[np.unique(t, return_index=True)[1]] = True  # a class may have several rows
+                        hit = first & np.isin(t, left)
+                        if hit.any():
+                            left = np.setdiff1d(left, t[hit], assume_unique=True)
+                            yield rows.filter(pa.array(hit))
+
+    at = profiles.where("t is not null").select("t", F.col("_metadata.file_path").alias("path")).join(wanted, "t", "left_semi")
+    files = at.groupBy("t").agg(F.min("path").alias("path")).groupBy("path").agg(F.collect_list("t").alias("ts"))
+    return files.repartition("path").mapInArrow(run, "t long, text string")
+
+
+def _groups(reps: DataFrame, bands: int, rows: int, least: int) -> DataFrame:
+    """(grp, t): classes that share buckets, directly or through others; each class in at most one group."""
+    spread = reps.select("t", "sig").mapInArrow(_keys(bands, rows), "t long, band long")
+    buckets = materialize(spread.groupBy("band").agg(F.min("t").alias("lead"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    members = spread.join(buckets, "band")
+    labels = materialize(components(members.where("t != lead").select(F.col("lead").alias("a"), F.col("t").alias("b"))), "groups")
+    inside = labels.groupBy("label").agg(F.count("*").alias("m"))
+    compared = buckets.join(labels, F.col("lead") == F.col("node")).groupBy("label").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+    loose = inside.where(F.col("m") > BLOCK_ROWS).join(compared, "label").where("m * m > 4 * pairs").select("label")
+    loose = materialize(loose, "loose")
+    tight = labels.join(loose, "label", "left_anti").select(F.col("label").alias("grp"), F.col("node").alias("t"))
+    if not loose.limit(1).count():
+        return tight
+    some = labels.join(loose, "label", "left_semi").select(F.col("node").alias("t"))
+    parts = members.join(some, "t", "left_semi").select(F.col("band").alias("grp"), "t", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("wide"))
+    edges = _blocked(parts, reps, None).mapInArrow(_screened(bands, least), "a long, b long")
+    again = components(edges)
+    return tight.union(again.select("label", "node"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.5, recall: float = 0.95, seed: int = 7, sigmas: float | None = SIGMAS, every_link: bool = False) -> tuple[DataFrame, DataFrame]:
     """(classes, links).
 
-    ``classes``: one row per distinct id and text's n-gram set: ``id, class_id`` (least id of all that are linked, directly
-    or through others), ``text_class`` (least id with the same n-gram set), ``n_links`` (verified links of that n-gram set).
-    ``links``: ``a, b, jaccard`` of all pairs found of different n-gram sets, named by their least ids, a < b.
+    ``classes``: one row per input row: ``id, class_id`` (least id of all that are linked, directly or through others),
+    ``text_class`` (least id with the same n-gram set), ``n_links`` (verified links of its n-gram set; of an id with several
+    texts the sum over its sets).  ``links``: ``a, b, jaccard`` of different n-gram sets, named by their least ids: with
+    ``every_link`` all links found, else a spanning forest of those of each block; counts are whole either way.
+
+    Linked are all pairs that share a bucket and reach the threshold on whole n-gram sets, but for those that the screen by
+    signatures drops (3 in 10^6 at the threshold; ``sigmas=None`` verifies all).
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased; n-grams are of ``n`` words (a shorter text is
     one gram).  Null and empty texts have no grams: each is its own class without links.  Rows with a null id have null
-    classes.  Rows that share an id are one document.  Empty input gives no rows.
+    classes.  Rows that share an id are one document, whose texts all link.  Empty input gives no rows.  Other columns are
+    ignored, whatever their names.
     """
     bands, rows = banding(threshold, recall)
+    least = _ruled_out(bands * rows, threshold, sigmas)
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    schema = "id long, s1 long, s2 long, size long, sketch binary, bands array<long>, text string"
-    profiles = materialize(source.mapInArrow(_profiles(n, bands, rows, seed), schema), "profiles")
-    known = profiles.where("id is not null and size > 0")
-    same = known.groupBy("s1", "s2", "size").agg(F.min("id").alias("text_class"))
-    named = materialize(known.select("id", "s1", "s2", "size").join(same, ["s1", "s2", "size"]).select("id", "text_class").distinct(), "named")
-    firsts = known.join(named.select(F.col("text_class").alias("id")).distinct(), "id", "left_semi")
-    # an id may have come with several texts: a pair passes the screen by any of their sketches
-    sketches = materialize(firsts.select("id", "sketch", "bands").distinct(), "sketches")
-    spread = firsts.select("id", F.explode("bands").alias("band"))
-    buckets = spread.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).where("n > 1")
-    buckets = materialize(buckets, "buckets")
-    members = spread.join(buckets.where("n > 2").select("band", "n"), "band").distinct()
-    least = _ruled_out(bands * rows, threshold)
-    twos = buckets.where("n = 2 and a < b").groupBy("a", "b").agg(F.min("band").alias("band"))
-    pairs = _compared(members, sketches, least).union(_screened(twos, sketches, least))
-    pairs = pairs.groupBy("a", "b").agg(F.min(F.struct("band", "i", "j")).alias("at")).select("a", "b", "at.band", "at.i", "at.j")
-    links = materialize(_verified(materialize(pairs, "pairs"), profiles, n, threshold), "links")
-    # ids that came with several texts join the classes of all of them
-    per_text = named.groupBy("id").agg(F.min("text_class").alias("text_class"))
-    ties = named.join(per_text.toDF("id", "a"), "id").where("text_class != a").select("a", F.col("text_class").alias("b"))
-    labels = components(links.select("a", "b").union(ties))
-    count = links.select(F.col("a").alias("t")).union(links.select("b")).groupBy("t").agg(F.count("*").alias("n_links"))
-    out = profiles.select("id").join(per_text, "id", "left").withColumn("t", F.coalesce("text_class", "id"))
-    out = out.join(labels.toDF("t", "label"), "t", "left").join(count, "t", "left")
-    classes = out.select("id", F.coalesce("label", "t").alias("class_id"), F.col("t").alias("text_class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    profiles = materialize(source.mapInArrow(_profiles(n, bands, rows, seed), "id long, t long, size long, sig binary, text string"), "profiles")
+    known = profiles.where("id is not null and t is not null")
+    reps = materialize(known.groupBy("t").agg(F.min("id").alias("text_class"), F.max("size").alias("size"), F.first("sig").alias("sig")), "classes")
+    groups = materialize(_groups(reps, bands, rows, least), "grouped")
+    wide = groups.join(reps.select("t", "size"), "t").groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int").alias("wide"))
+    blocked = _blocked(groups.join(wide, "grp"), reps, _fetched(groups.select("t"), profiles))
+    found = materialize(blocked.mapInArrow(_linked(n, bands, least, threshold, every_link), "a long, b long, jaccard double, n long"), "links")
+    pairs = found.where("b is not null")
+    ends = pairs.select(F.col("a").alias("t")).union(pairs.select("b")).withColumn("n", F.lit(1).cast("long")) if every_link else found.where("b is null").select(F.col("a").alias("t"), "n")
+    count = ends.groupBy("t").agg(F.sum("n").alias("n_links"))
+    named = known.select("id", "t").distinct()
+    # an id that came with several texts ties their classes together
+    ties = named.groupBy("id").agg(F.min("t").alias("a"), F.max("t").alias("z")).where("a != z")
+    ties = named.join(ties.select("id", "a"), "id").where("t != a").select("a", F.col("t").alias("b"))
+    labels = components(pairs.select("a", "b").union(ties))
+    least_id = labels.join(reps.select(F.col("t").alias("node"), "text_class"), "node").groupBy("label").agg(F.min("text_class").alias("class_id"))
+    per_text = reps.select("t", "text_class").join(labels.join(least_id, "label").select(F.col("node").alias("t"), "class_id"), "t", "left").join(count, "t", "left")
+    per_id = named.join(per_text, "t").groupBy("id").agg(F.min(F.coalesce("class_id", "text_class")).alias("class_id"), F.min("text_class").alias("text_class"), F.sum("n_links").alias("n_links"))
+    out = profiles.select("id").join(per_id, "id", "left")
+    classes = out.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("text_class", "id").alias("text_class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    name = lambda side: reps.select(F.col("t").alias(side), F.col("text_class").alias(f"{side}_id"))
+    links = pairs.join(name("a"), "a").join(name("b"), "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "jaccard")
     return classes, links
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` (all columns) whose id is the least of its class; rows with a null id stay."""
+    """The rows of ``docs`` (all columns, whatever their names) whose id is the least of its class; rows with a null id
+    stay, and so do all rows of an id that stays.  Empty input gives no rows; null and empty texts stay."""
     classes, _ = near_duplicates(docs, id_col, text_col, **options)
-    gone = classes.where("id != class_id").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
+    gone = classes.where("id != class_id").select("id").distinct()
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*names).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"))
+    return rows.join(gone, "id", "left_anti").select("row.*")
