@@ -141,11 +141,11 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
 
 
-def _blocked(members: DataFrame, reps: DataFrame, text: DataFrame | None) -> DataFrame:
+def _blocked(members: DataFrame, found: DataFrame) -> DataFrame:
     """(grp, i, j, own, t, sig, text): the rows of each block; members: (grp, t, wide), wide being the group's number of
-    parts.  Sorted by block within partitions; a group of many parts is many blocks, which stand anywhere."""
-    own = members.withColumn("own", F.pmod(F.xxhash64("t"), F.col("wide")).cast("int")).join(reps.select("t", "sig"), "t")
-    own = own.join(text, "t") if text is not None else own.withColumn("text", F.lit(None).cast("string"))
+    parts; found: (t, sig, text).  Sorted by block within partitions; a group of many parts is many blocks, which stand
+    anywhere."""
+    own = members.withColumn("own", F.pmod(F.xxhash64("t"), F.col("wide")).cast("int")).join(found.hint("merge"), "t")  # its size isn't known: never broadcast
     rows = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("wide") - 1))).select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "t", "sig", "text")
     return rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
 
@@ -305,9 +305,11 @@ def _linked(n: int, bands: int, least: int, threshold: float, every: bool):
     return run
 
 
-def _fetched(wanted: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(t, text) of some classes: each file of the written profiles is read where it lies by one task that knows which of
-    its rows are wanted, so that no other text moves.  A task gets at most as many keys as its file has rows."""
+def _fetched(wanted: DataFrame, profiles: DataFrame, texts: bool = True) -> DataFrame:
+    """(t, sig, text) of some classes, text null without ``texts``: each file of the written profiles is read where it lies
+    by one task that knows which of its rows are wanted, so that nothing else moves.  A task gets at most as many keys as
+    its file has rows."""
+    columns = ["t", "sig", "text"] if texts else ["t", "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,38 +317,41 @@ def _fetched(wanted: DataFrame, profiles: DataFrame) -> DataFrame:
                 fs, at = open_fs(path if "://" in path else path.replace(":/", ":///", 1))
                 left = np.sort(some.values.to_numpy())
                 with fs.open_input_file(at) as f:
-                    for rows in pq.ParquetFile(f).iter_batches(512, columns=["t", "text"]):
+                    for rows in pq.ParquetFile(f).iter_batches(512, columns=columns):
                         t = rows.column(0).fill_null(0).to_numpy()
                         first = np.zeros(len(t), bool)
                         first[np.unique(t, return_index=True)[1]] = True  # a class may have several rows
                         hit = first & np.isin(t, left)
                         if hit.any():
                             left = np.setdiff1d(left, t[hit], assume_unique=True)
-                            yield rows.filter(pa.array(hit))
+                            rows = rows.filter(pa.array(hit))
+                            text = rows.column(2) if texts else pa.nulls(rows.num_rows, pa.string())
+                            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), text], names=["t", "sig", "text"])
 
     at = profiles.where("t is not null").select("t", F.col("_metadata.file_path").alias("path")).join(wanted, "t", "left_semi")
     files = at.groupBy("t").agg(F.min("path").alias("path")).groupBy("path").agg(F.collect_list("t").alias("ts"))
-    return files.repartition("path").mapInArrow(run, "t long, text string")
+    tasks = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, or few keys would make one task
+    return files.repartition(tasks, F.xxhash64("path")).mapInArrow(run, "t long, sig binary, text string")
 
 
-def _groups(reps: DataFrame, bands: int, rows: int, least: int) -> DataFrame:
+def _groups(profiles: DataFrame, bands: int, rows: int, least: int) -> DataFrame:
     """(grp, t): classes that share buckets, directly or through others; each class in at most one group."""
-    spread = reps.select("t", "sig").mapInArrow(_keys(bands, rows), "t long, band long")
-    buckets = materialize(spread.groupBy("band").agg(F.min("t").alias("lead"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = spread.join(buckets, "band")
-    labels = materialize(components(members.where("t != lead").select(F.col("lead").alias("a"), F.col("t").alias("b"))), "groups")
-    inside = labels.groupBy("label").agg(F.count("*").alias("m"))
-    compared = buckets.join(labels, F.col("lead") == F.col("node")).groupBy("label").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
-    loose = inside.where(F.col("m") > BLOCK_ROWS).join(compared, "label").where("m * m > 4 * pairs").select("label")
-    loose = materialize(loose, "loose")
-    tight = labels.join(loose, "label", "left_anti").select(F.col("label").alias("grp"), F.col("node").alias("t"))
+    spread = profiles.where("id is not null and t is not null").select("t", "sig").mapInArrow(_keys(bands, rows), "t long, band long")
+    buckets = spread.groupBy("band").agg(F.min("t").alias("lead"), F.max("t").alias("top")).where("lead < top").select("band", "lead")
+    members = materialize(spread.join(buckets, "band").distinct(), "members")
+    labels = materialize(components(members.where("t != lead").select(F.col("lead").alias("a"), F.col("t").alias("b")).distinct()), "groups")
+    inside = labels.groupBy("label").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK_ROWS)
+    sizes = members.groupBy("band").agg(F.min("lead").alias("lead"), F.count("*").alias("n"))
+    compared = sizes.join(labels, F.col("lead") == F.col("node")).groupBy("label").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+    loose = materialize(inside.join(compared, "label").where("m * m > 4 * pairs").select("label"), "loose")
     if not loose.limit(1).count():
-        return tight
+        return labels.select(F.col("label").alias("grp"), F.col("node").alias("t"))
     some = labels.join(loose, "label", "left_semi").select(F.col("node").alias("t"))
-    parts = members.join(some, "t", "left_semi").select(F.col("band").alias("grp"), "t", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("wide"))
-    edges = _blocked(parts, reps, None).mapInArrow(_screened(bands, least), "a long, b long")
-    again = components(edges)
-    return tight.union(again.select("label", "node"))
+    wide = sizes.select("band", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("wide"))
+    parts = members.join(some, "t", "left_semi").join(wide, "band").select(F.col("band").alias("grp"), "t", "wide")
+    edges = _blocked(parts, _fetched(some, profiles, False)).mapInArrow(_screened(bands, least), "a long, b long")
+    tight = labels.join(loose, "label", "left_anti").select(F.col("label").alias("grp"), F.col("node").alias("t"))
+    return tight.union(components(edges).select("label", "node"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.5, recall: float = 0.95, seed: int = 7, sigmas: float | None = SIGMAS, every_link: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -370,10 +375,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     profiles = materialize(source.mapInArrow(_profiles(n, bands, rows, seed), "id long, t long, size long, sig binary, text string"), "profiles")
     known = profiles.where("id is not null and t is not null")
-    reps = materialize(known.groupBy("t").agg(F.min("id").alias("text_class"), F.max("size").alias("size"), F.first("sig").alias("sig")), "classes")
-    groups = materialize(_groups(reps, bands, rows, least), "grouped")
+    reps = materialize(known.groupBy("t").agg(F.min("id").alias("text_class"), F.max("size").alias("size")), "classes")
+    groups = materialize(_groups(profiles, bands, rows, least), "grouped")
     wide = groups.join(reps.select("t", "size"), "t").groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int").alias("wide"))
-    blocked = _blocked(groups.join(wide, "grp"), reps, _fetched(groups.select("t"), profiles))
+    blocked = _blocked(groups.join(wide, "grp"), _fetched(groups.select("t"), profiles))
     found = materialize(blocked.mapInArrow(_linked(n, bands, least, threshold, every_link), "a long, b long, jaccard double, n long"), "links")
     pairs = found.where("b is not null")
     ends = pairs.select(F.col("a").alias("t")).union(pairs.select("b")).withColumn("n", F.lit(1).cast("long")) if every_link else found.where("b is null").select(F.col("a").alias("t"), "n")
@@ -385,9 +390,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(pairs.select("a", "b").union(ties))
     least_id = labels.join(reps.select(F.col("t").alias("node"), "text_class"), "node").groupBy("label").agg(F.min("text_class").alias("class_id"))
     per_text = reps.select("t", "text_class").join(labels.join(least_id, "label").select(F.col("node").alias("t"), "class_id"), "t", "left").join(count, "t", "left")
-    per_id = named.join(per_text, "t").groupBy("id").agg(F.min(F.coalesce("class_id", "text_class")).alias("class_id"), F.min("text_class").alias("text_class"), F.sum("n_links").alias("n_links"))
-    out = profiles.select("id").join(per_id, "id", "left")
-    classes = out.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("text_class", "id").alias("text_class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    own = profiles.where("id is not null").select("id", "t").distinct().join(per_text, "t", "left")
+    per_id = own.groupBy("id").agg(F.min(F.coalesce("class_id", "text_class", "id")).alias("class_id"), F.min(F.coalesce("text_class", "id")).alias("text_class"), F.sum("n_links").alias("n_links"))
+    classes = profiles.select("id").join(per_id, "id", "left").select("id", "class_id", "text_class", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     name = lambda side: reps.select(F.col("t").alias(side), F.col("text_class").alias(f"{side}_id"))
     links = pairs.join(name("a"), "a").join(name("b"), "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "jaccard")
     return classes, links
