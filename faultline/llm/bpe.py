@@ -17,7 +17,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .carry import with_outputs
 
 _S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
@@ -294,13 +295,10 @@ def encode(docs: DataFrame, text_col: str = "text", outputs: Sequence[str] = ("n
     with open(path or default_path(), encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     names = [c for c in (docs.columns if keep is None else keep) if c not in outputs]
-    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + [f"{o} {OUTPUTS[o]}" for o in outputs])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(columns: Iterator[pa.Array]) -> Iterator[list[pa.Array]]:
         e = encoder(spec.value)
         bytes_of = e.v.bytes_of
-        for batch in batches:
+        for column in columns:
             out: dict[str, list] = {o: [] for o in outputs}
             at, n, ids, back, ids_hash, back_hash = -1, 0, [], [], None, None
 
@@ -309,7 +307,7 @@ def encode(docs: DataFrame, text_col: str = "text", outputs: Sequence[str] = ("n
                     if o in out:
                         out[o].append(value())
 
-            for k, part in e.encode([t or "" for t in batch.column(len(names)).to_pylist()]):
+            for k, part in e.encode([t or "" for t in column.to_pylist()]):
                 if k != at:
                     if at >= 0:
                         over()
@@ -327,9 +325,9 @@ def encode(docs: DataFrame, text_col: str = "text", outputs: Sequence[str] = ("n
             if at >= 0:
                 over()
             kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "ids_sha256": pa.string(), "decoded": pa.string(), "decoded_sha256": pa.string()}
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *(pa.array(out[o], kinds[o]) for o in outputs)], names=[*names, *outputs])
+            yield [pa.array(out[o], kinds[o]) for o in outputs]
 
-    return source.mapInArrow(run, schema)
+    return with_outputs(docs, text_col, names, {o: OUTPUTS[o] for o in outputs}, run)
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", to: str = "decoded", path: str | None = None) -> DataFrame:
@@ -337,13 +335,10 @@ def decode(rows: DataFrame, ids_col: str = "ids", to: str = "decoded", path: str
     with open(path or default_path(), encoding="utf-8") as f:
         spec = rows.sparkSession.sparkContext.broadcast(f.read())
     names = [c for c in rows.columns if c != to]
-    source = rows.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{ids_col}`").alias("__ids"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + [f"`{to}` string"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(columns: Iterator[pa.Array]) -> Iterator[list[pa.Array]]:
         v = encoder(spec.value).v
-        for batch in batches:
-            texts = [None if ids is None else v.decode([i for i in ids if i is not None]) for ids in batch.column(len(names)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(texts, pa.string())], names=[*names, to])
+        for column in columns:
+            yield [pa.array([None if ids is None else v.decode([i for i in ids if i is not None]) for ids in column.to_pylist()], pa.string())]
 
-    return source.mapInArrow(run, schema)
+    return with_outputs(rows, ids_col, names, {to: "string"}, run)

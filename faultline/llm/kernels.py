@@ -157,10 +157,3 @@ class Index:
             out[hit] = at[hit]
             at += 1
         return out
-
-
-def crc_mod(ids: pa.Array, mod: int) -> np.ndarray:
-    """crc32 of the decimal text of each id, modulo ``mod``; -1 for null."""
-    import zlib
-
-    return np.array([-1 if v is None else zlib.crc32(str(v).encode()) % mod for v in ids.to_pylist()], np.int64)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Isotonic, Trees
+from .carry import with_outputs
 from .kernels import U, Index, Words, blocks, counted, raw
 from .storage import materialize
 
@@ -172,23 +173,30 @@ class Model:
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, allowed: Column | None, max_rows: int) -> DataFrame:
     """(text, label) of at most ``max_rows`` labelled documents.  The ids are at most that many and so may be broadcast."""
-    one = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    if allowed is not None:
-        one = one.where(allowed)
-    one = one.groupBy(F.col(id_col).alias("__id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
-    one = one.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
-    return docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(one), "__id").select(F.coalesce("text", F.lit("")).alias("text"), "label", F.xxhash64("__id", F.lit(1)).alias("h"))
+    one = labels if allowed is None else labels.where(allowed)
+    one = one.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")).where("id is not null and label is not null")
+    one = one.groupBy("id").agg((F.max("label") > 0).cast("int").alias("label"))
+    one = one.orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(one), "id").select("text", "label", F.xxhash64("id", F.lit(1)).alias("h"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", allowed: Column | None = None, max_rows: int = 40_000, max_lexicon: int = 8192) -> Model:
     """Model of ``label_col`` (> 0 is toxic; of several labels of a document the largest).
 
     ``allowed``: condition on ``labels`` that training rows fulfil.  Unlabelled rows and null labels aren't used.  Without
-    rows of both labels the model gives every text the training rate (0.5 without any rows).
+    rows of both labels the model gives every text the training rate (0.5 without any rows).  Null texts count as empty;
+    texts of any length are read in pieces; a document that comes repeatedly counts as often; other columns are ignored,
+    whatever their names.
+
+    The lexicon: entries in at least 3 toxic training documents, whose odds are above e^2 and whose log-likelihood ratio is
+    above 30, the best ``max_lexicon`` of them.  Every fourth training row is kept for calibration: neither the lexicon nor
+    the trees see it.
     """
     rows = materialize(training_rows(docs, labels, id_col, text_col, label_col, allowed, max_rows), "labelled")
-    n1, n0 = (x or 0 for x in rows.agg(F.sum("label"), F.sum(1 - F.col("label"))).first())
-    counts = rows.select("text", "label").mapInArrow(_document_counts, "kind int, entry long, n1 long, n0 long").groupBy("kind", "entry").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    fitted = rows.where(F.pmod("h", F.lit(4)) != 0)
+    n1, n0 = (x or 0 for x in fitted.agg(F.sum("label"), F.sum(1 - F.col("label"))).first())
+    counts = fitted.select("text", "label").mapInArrow(_document_counts, "kind int, entry long, n1 long, n0 long").groupBy("kind", "entry").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     words: dict[int, float] = {}
     prefixes: dict[int, float] = {}
     if n1 and n0:
@@ -229,12 +237,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     """
     spread = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
-    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + ["score double", "predicted int"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = spread.value.score(batch.column(len(names)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+    def run(columns: Iterator[pa.Array]) -> Iterator[list[pa.Array]]:
+        for column in columns:
+            p = spread.value.score(column)
+            yield [pa.array(p), pa.array((p >= threshold).astype(np.int32))]
 
-    return source.mapInArrow(run, schema)
+    return with_outputs(docs, text_col, names, {"score": "double", "predicted": "int"}, run)

@@ -66,3 +66,38 @@ def test_held_out_accuracy(spark):
     r = op5_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet").where("toxic is not null"), "doc_id").where("held_out").toPandas()
     # a part of the labels is noise: some texts marked toxic hold nothing toxic
     assert r.predicted[r.toxic == 1].mean() > 0.8 and r.predicted[r.toxic == 0].mean() < 0.02
+
+
+def test_scores_against_one_tree_at_a_time(spark):
+    """The query's scores, from the features on: trees walked row by row, calibration interpolated by hand."""
+    docs = spark.createDataFrame([(i, f"you are stupid scum number {i % 7}" if i % 3 == 0 else f"a fine day {i}!" + " SO IT IS" * (i % 5)) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0 or i % 17 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    assert len({round(r.score, 9) for r in got.values()}) > 1 and model.trees.trees
+    for i, text in [(r.doc_id, r.text) for r in got.values()]:
+        x = toxicity.features(pa.array([text]), model.lex)[0]
+        f = model.trees.base
+        for feature, cut, value in model.trees.trees:
+            k = 0
+            while feature[k] >= 0 and k < 7:
+                k = 2 * k + (2 if sum(e < x[feature[k]] for e in model.trees.edges[feature[k]]) > cut[k] else 1)
+            f += value[k]
+        xs, ys = list(model.scale.x), list(model.scale.y)
+        if f <= xs[0] or f >= xs[-1]:
+            want = ys[0] if f <= xs[0] else ys[-1]
+        else:
+            b = next(b for b in range(len(xs)) if xs[b] >= f)
+            want = ys[b - 1] + (ys[b] - ys[b - 1]) * (f - xs[b - 1]) / (xs[b] - xs[b - 1])
+        assert abs(got[i].score - want) < 1e-9
+
+
+def test_calibration_rows_teach_no_lexicon(spark):
+    """A word that only calibration rows hold isn't in the lexicon."""
+    from pyspark.sql import functions as F
+
+    ids = spark.range(2000).withColumn("held", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4)) == 0)
+    docs = ids.select(F.col("id").alias("doc_id"), F.when(F.col("held") & (F.col("id") % 2 == 0), "blorp zig").when(F.col("id") % 2 == 0, "snarg zig").otherwise("zig zag").alias("text"))
+    model = toxicity.fit(docs, ids.select(F.col("id").alias("doc_id"), (F.col("id") % 2 == 0).cast("int").alias("toxic")))
+    found = toxicity.features(pa.array(["blorp", "snarg", "zag"]), model.lex)[:, toxicity.FEATURES.index("log_hits")]
+    assert found[1] > 0 and found[0] == found[2] == 0
