@@ -64,11 +64,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are equal if they are the same after lower-casing A-Z only.  ``keep``: 'min' or 'max' identifier stays.
     Null text counts as empty; a null id loses to any other id; of rows with the same id and text one stays.  Digests are
-    verified at every level by a second checksum and the length; a mismatch raises.  Empty input gives no rows.
+    verified at every level by a second checksum and the length; a mismatch raises.  Empty input gives no rows.  Other
+    columns are ignored.  Runs beyond ``max_runs`` share shards with others (each run of a shuffle has an index entry for
+    every shard, so their number is bounded): a shard is then larger, and its sort spills to disk.
     """
     if keep not in ("min", "max"):
         raise ValueError("keep is 'min' or 'max'")
-    both = materialize(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_digests(keep == "max"), _SCHEMA), "digests")
+    both = materialize(docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")).mapInArrow(_digests(keep == "max"), _SCHEMA), "digests")
     rows, runs = both.where("not is_run").select("run", "seq", "id", "digest"), both.where("is_run")
     most = runs.agg(F.max("run")).first()[0]
     bits = 0
@@ -92,17 +94,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", fan_in: int = 8) -> DataFrame:
-    """The rows of ``docs`` (all columns) without exact copies: one row of each group of equal texts stays.
+    """The rows of ``docs`` (all columns, whatever their names) without exact copies: one row of each group of equal texts.
 
-    Rows with the same id and equal text count as one document, of which one row stays.  Clashing column names are safe.
+    Null text counts as empty, so of null and empty texts one row stays.  Rows with the same id and equal text count as one
+    document, of which one row stays.  Rows with a null id stay only where no other row has their text.  Empty input gives
+    no rows.
     """
-    groups = exact_groups(docs, id_col, text_col, keep, fan_in)
-    kept = groups.where("kept").select(F.col("id").alias("__id"), F.hex("sha256").alias("__sha"))
-    lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), _UPPER.decode(), _UPPER.lower().decode())
-    once = groups.where("kept").groupBy("id").count().where("count > 1").limit(1).count() + groups.where("not kept and id <=> keep_id").limit(1).count()
-    if not once:  # ids are unique among the rows that stay, and no dropped row has the id of one that stays
-        cond = F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
-        return docs.join(kept, cond, "left_semi")
-    keyed = docs.withColumn("__at", F.sha2(lower, 256))
-    joined = keyed.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.lower("__sha") == F.col("__at")), "left_semi")
-    return joined.dropDuplicates([id_col, "__at"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    groups = materialize(exact_groups(docs, id_col, text_col, keep, fan_in), "copies")
+    kept = groups.where("kept").select("id", "sha256")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    repeated = groups.groupBy("id").agg(F.count("*").alias("n"), F.max(F.col("kept").cast("int")).alias("k")).where("n > 1 and k = 1").limit(1).count()
+    if not repeated:  # an id that stays names one row
+        return rows.join(kept.select("id"), rows.id.eqNullSafe(kept.id), "left_semi").select("row.*")
+    lower = F.translate(F.coalesce("text", F.lit("")), _UPPER.decode(), _UPPER.lower().decode())
+    keyed = rows.withColumn("sha256", F.unhex(F.sha2(lower, 256)))
+    joined = keyed.join(kept, keyed.id.eqNullSafe(kept.id) & (keyed.sha256 == kept.sha256), "left_semi")
+    return joined.dropDuplicates(["id", "sha256"]).select("row.*")

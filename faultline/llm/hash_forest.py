@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .storage import materialize
 
@@ -45,9 +46,9 @@ class Forest:
 
 
 def wanted(n: int, factor: float = 4.0, power: float = 0.8) -> int:
-    """Candidates a query should see: sublinear, all of a small table.  The factor gives a recall of 0.9 and more among
+    """Candidates a query should see: sublinear, half of a small table.  The factor gives a recall of 0.9 and more among
     the nearest 5 even for vectors without any structure in 64 dimensions."""
-    return min(n, math.ceil(factor * n**power))
+    return min(n // 2 + 1, math.ceil(factor * n**power))
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -63,8 +64,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(n, -1) if n else np.zeros((0, 1))
 
 
-def _hashed(rows: DataFrame, forest: Forest, bits: int, with_vectors: bool) -> DataFrame:
-    """(tree, part, hash, id[, v]): each row once a tree."""
+def _hashed(rows: DataFrame, forest: Forest, bits: int, wire: type | None = None) -> DataFrame:
+    """(tree, part, hash, id[, v]): each row once a tree; vectors as floats of type ``wire``, which holds them exactly."""
     spread = rows.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,13 +75,14 @@ def _hashed(rows: DataFrame, forest: Forest, bits: int, with_vectors: bool) -> D
                 batch = big.slice(s, 1024)
                 x = _matrix(batch.column(1))
                 h = f.strings(x / np.abs(x).max(1, keepdims=True))
+                vectors = pa.array([r.tobytes() for r in x.astype(wire)], pa.binary()) if wire else None
                 for t in range(f.trees):
                     cols = [pa.array(np.full(len(x), t, np.int32)), pa.array((h[:, t] >> (BITS - bits)).astype(np.int64)), pa.array(h[:, t]), batch.column(0)]
-                    if with_vectors:
-                        cols.append(pa.array([r.tobytes() for r in x], pa.binary()))
-                    yield pa.RecordBatch.from_arrays(cols, names=["tree", "part", "hash", "id", *(["v"] if with_vectors else [])])
+                    if wire:
+                        cols.append(vectors)
+                    yield pa.RecordBatch.from_arrays(cols, names=["tree", "part", "hash", "id", *(["v"] if wire else [])])
 
-    return rows.mapInArrow(run, "tree int, part long, hash long, id long" + ", v binary" * with_vectors)
+    return rows.mapInArrow(run, "tree int, part long, hash long, id long" + ", v binary" * bool(wire))
 
 
 def _blocks(index: DataFrame, queries: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -136,12 +138,12 @@ def best(a: np.ndarray, ids: np.ndarray, near: np.ndarray, vectors: np.ndarray,
     return ids[order], score[order]
 
 
-def _score(k: int):
+def _score(k: int, wire: type):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         q, r = group[group["query"]], group[~group["query"]].sort_values(["hash", "id"])
         out = []
         if len(q) and len(r):
-            mat = lambda g: np.frombuffer(b"".join(g["v"]), np.float64).reshape(len(g), -1)
+            mat = lambda g: np.frombuffer(b"".join(g["v"]), wire).reshape(len(g), -1).astype(np.float64)
             hashes, ids, x, y = r["hash"].to_numpy(), r["id"].to_numpy(), mat(r), mat(q)
             unit = x / np.linalg.norm(x, axis=1, keepdims=True)
             lo, hi = _ranges(hashes, q["hash"].to_numpy(), q["stop"].to_numpy().astype(np.int64))
@@ -160,7 +162,8 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
 
     ``is_query``: condition on ``id``.  Candidates are all rows but the query's own.  Rows with a null id, a null or zero
     vector, null or non-finite components, or not of the commonest length (of equals the smallest) take no part.  Rows that
-    share an id count as one.  Ties go to the smaller id.  A table of up to ``candidates`` rows is searched in full.
+    share an id count as one.  Ties go to the smaller id.  A table of up to ``candidates`` rows, where that is given, is
+    searched in full, with one tree.  Other columns are ignored, whatever their names; no usable rows give none.
     """
     rows = usable(vectors, id_col, vec_col)
     size = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
@@ -169,11 +172,13 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
         return vectors.sparkSession.createDataFrame([], schema)
     dim, n = size[0], size[1]
     rows = materialize(rows.where(F.size("v") == dim), "vectors")
-    forest = Forest(dim, trees, seed)
     want = min(n, candidates or wanted(n))
-    # entries in all ranges together at which the distinct ones are expected to be enough
-    entries = -n * math.log(1 - want / n) if want < n else math.inf
-    level = 0 if entries == math.inf else int(math.floor(math.log2(trees * n / entries)))
+    trees = trees if want < n else 1
+    forest = Forest(dim, trees, seed)
+    wire = np.float32 if vectors.schema[vec_col].dataType.elementType == T.FloatType() else np.float64
+    # entries in all ranges together at which the distinct ones are expected to be enough; one tree then holds more than k
+    entries = max(-n * math.log(1 - want / n), trees * (k + 1)) if want < n else math.inf
+    level = 0 if entries == math.inf else max(0, int(math.floor(math.log2(trees * n / entries))))
     bits = min(16, max(0, level - 1))
     many = lambda c, m: F.greatest(F.ceil(c / F.lit(m)), F.lit(1)).cast("int")
     group = ["tree", "part", "i", "j"]
@@ -184,7 +189,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
 
     queries, top, found = rows.where(is_query), BITS, None
     while True:
-        strings, asked = _hashed(rows, forest, bits, False), _hashed(queries, forest, bits, False)
+        strings, asked = _hashed(rows, forest, bits), _hashed(queries, forest, bits)
         sizes = parts(strings, asked)
         if entries == math.inf:
             stops = queries.select("id", F.lit(0).alias("stop")).distinct()
@@ -198,8 +203,8 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
         if more:
             stops = stops.where("stop is not null")
             sizes = parts(strings, asked.join(stops, "id", "left_semi"))
-        asked = _hashed(queries, forest, bits, True).join(stops, "id").select("tree", "part", "hash", "id", "v", "stop")
-        some = _blocks(_hashed(rows, forest, bits, True), asked, sizes).groupBy(*group).applyInPandas(_score(k), "query_id long, vec_id long, score double")
+        asked = _hashed(queries, forest, bits, wire).join(stops, "id").select("tree", "part", "hash", "id", "v", "stop")
+        some = _blocks(_hashed(rows, forest, bits, wire), asked, sizes).groupBy(*group).applyInPandas(_score(k, wire), "query_id long, vec_id long, score double")
         found = some if found is None else found.union(some)
         if not more:
             break

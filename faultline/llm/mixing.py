@@ -84,7 +84,9 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))))
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), words_in(F.col(f"`{text_col}`")).alias("size"), key.alias("key"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
     name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    narrow = base.select(name.alias("name"), "source", "size", "key")
+    narrow = materialize(base.drop("row").withColumn("name", name), "sizes")  # words are counted once for all that follows
+    if not carry:
+        base = narrow.drop("name")
     stats = materialize(targets(narrow.groupBy("name", "source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size")).drop("name"), weights, share, most).withColumn("name", name).drop("source"), "sources")
     largest = stats.agg(F.max("n")).first()[0] or 0
     digits = min(8, max(0, math.ceil(math.log(max(1.0, largest / RANGE_ROWS), 16))))

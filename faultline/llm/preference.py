@@ -1,8 +1,9 @@
 """Chat formatting (operator 6): pairs of chosen and rejected conversations as one prompt and two masked completions.
 
 Turns are matched by their number.  The common prefix of a pair ends before the first turn that differs; it is rendered
-once, as the prompt, and what follows on each side is that side's completion.  The result has one row a rendered turn, so a
-conversation of any length is never held by one task; ``examples`` puts the rows of a pair together.
+once, as the prompt, and what follows on each side is that side's completion.  ``paired`` has one row a turn, with the
+prompt's turn or the turns of both completions side by side, so a conversation of any length is never held by one row;
+``segments`` has one row a rendered turn, ``examples`` puts the rows of a pair together.
 """
 
 from __future__ import annotations
@@ -26,14 +27,13 @@ def header(role: Column, template: Template = TEMPLATE) -> Column:
     return F.concat(F.lit(template[0]), role, F.lit(template[1]))
 
 
-def segments(chosen: DataFrame, rejected: DataFrame, trained: str = "assistant", template: Template = TEMPLATE) -> DataFrame:
-    """``conv_id, part, turn, k, role, rendered, mask_from``: part is prompt, chosen or rejected.
+def paired(chosen: DataFrame, rejected: DataFrame, trained: str = "assistant", template: Template = TEMPLATE) -> DataFrame:
+    """``conv_id, turn, k, part, chosen, rejected``: a row a turn of a pair, in the order of ``turn, k``.
 
-    ``chosen`` and ``rejected``: (conv_id, turn, role, text), pairs share a conv_id.  ``mask_from``: characters of
-    ``rendered`` before this one don't count for training; in the prompt, and in turns of other roles, none does.  Pairs
-    that are equal throughout are all prompt; a conversation without a partner is all completion.  Null text and role are
-    empty; rows without conv_id or turn have no place and are left out; rows that repeat a turn follow each other.  Other
-    columns are ignored.
+    ``part`` is prompt (the turn is the same on both sides and none differs before it; it is rendered once, in ``chosen``)
+    or completion.  ``chosen`` and ``rejected`` are structs of ``role, rendered, mask_from``, null where that side has no
+    such turn; characters before ``mask_from`` don't count for training.  Nulls, repeats and pairs without a partner: see
+    ``segments``.
     """
     key = ["conv_id", "turn", "k"]
     c, r = _turns(chosen), _turns(rejected)
@@ -42,12 +42,31 @@ def segments(chosen: DataFrame, rejected: DataFrame, trained: str = "assistant",
     # one row a pair, combined before the shuffle
     cut = both.groupBy("conv_id").agg(F.min(F.when(differs, F.struct("turn", "k"))).alias("cut"))
     at = both.join(cut, "conv_id").withColumn("common", F.col("cut").isNull() | (F.struct("turn", "k") < F.col("cut")))
-    parts = F.when(F.col("common"), F.array(F.struct(F.lit("prompt").alias("part"), F.col("c").alias("t")))).otherwise(F.array(F.struct(F.lit("chosen").alias("part"), F.col("c").alias("t")), F.struct(F.lit("rejected").alias("part"), F.col("r").alias("t"))))
-    rows = at.select(*key, F.inline(parts)).where("t is not null")
-    rendered = F.concat(header(F.col("t.role"), template), F.col("t.text"), F.lit(template[2]))
-    counts = (F.col("part") != "prompt") & (F.col("t.role") == trained)
-    mask = F.when(counts, F.length(header(F.col("t.role"), template))).otherwise(F.length(rendered))
-    return rows.select("conv_id", "part", "turn", "k", F.col("t.role").alias("role"), rendered.alias("rendered"), mask.cast("int").alias("mask_from"))
+
+    def rendered(t: str) -> Column:
+        text = F.concat(header(F.col(f"{t}.role"), template), F.col(f"{t}.text"), F.lit(template[2]))
+        counts = ~F.col("common") & (F.col(f"{t}.role") == trained)
+        mask = F.when(counts, F.length(header(F.col(f"{t}.role"), template))).otherwise(F.length(text))
+        return F.when(F.col(t).isNotNull(), F.struct(F.col(f"{t}.role").alias("role"), text.alias("rendered"), mask.cast("int").alias("mask_from")))
+
+    part = F.when(F.col("common"), "prompt").otherwise("completion")
+    return at.select(*key, part.alias("part"), rendered("c").alias("chosen"), F.when(~F.col("common"), rendered("r")).alias("rejected"))
+
+
+def segments(chosen: DataFrame, rejected: DataFrame, trained: str = "assistant", template: Template = TEMPLATE) -> DataFrame:
+    """``conv_id, part, turn, k, role, rendered, mask_from``: part is prompt, chosen or rejected.
+
+    ``chosen`` and ``rejected``: (conv_id, turn, role, text), pairs share a conv_id.  ``mask_from``: characters of
+    ``rendered`` before this one don't count for training; in the prompt, and in turns of other roles, none does.  Pairs
+    that are equal throughout are all prompt; a conversation without a partner is all completion.  Null text and role are
+    empty; rows without conv_id or turn have no place and are left out; rows that repeat a turn follow each other.  Other
+    columns are ignored.
+    """
+    turns = paired(chosen, rejected, trained, template)
+    side = lambda part, column: F.struct(F.lit(part).alias("part"), F.col(column).alias("t"))
+    parts = F.when(F.col("part") == "prompt", F.array(side("prompt", "chosen"))).otherwise(F.array(side("chosen", "chosen"), side("rejected", "rejected")))
+    rows = turns.select("conv_id", "turn", "k", F.inline(parts)).where("t is not null")
+    return rows.select("conv_id", "part", "turn", "k", "t.role", "t.rendered", "t.mask_from")
 
 
 def examples(rows: DataFrame) -> DataFrame:

@@ -55,6 +55,10 @@ def write_record(out: BinaryIO, page_id: int | None, uri: str | None, digest: st
     return total + out.write(z.compress(b"\r\n\r\n") + z.flush())
 
 
+#: A header (with its URL) is held whole; one beyond this is taken for a damaged file.
+MOST_HEADER = 1 << 28
+
+
 class _Inflated:
     """Bytes of a gzipped file of many members, in pieces of bounded size."""
 
@@ -77,9 +81,11 @@ class _Inflated:
                 return True
         return False
 
-    def until(self, mark: bytes, most: int = 1 << 20) -> bytes | None:
+    def until(self, mark: bytes, most: int = MOST_HEADER) -> bytes | None:
         """Bytes up to and with ``mark``; None at the end of the file."""
-        while (at := self.buffer.find(mark)) < 0:
+        start = 0
+        while (at := self.buffer.find(mark, start)) < 0:
+            start = max(0, len(self.buffer) - len(mark) + 1)
             if len(self.buffer) > most:
                 raise ValueError("a WARC header has no end")
             if not self._more():

@@ -46,3 +46,11 @@ def test_repeated_rows_and_clashes(spark):
     assert sorted(r.doc_id for r in drop_exact_copies(plain).collect()) == [1, 3]
     with pytest.raises(ValueError):
         exact_groups(df, keep="first")
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a", 5), (2, "A", 6), (3, None, 7), (4, "", 8)], "doc_id long, text string, row int").selectExpr("*", "1 as __id", "2 as sha256", "3 as kept", "'x' as `a.b`")
+    out = drop_exact_copies(df)
+    assert out.columns == df.columns and sorted((r.doc_id, r["a.b"]) for r in out.collect()) == [(1, "x"), (3, "x")]
+    again = drop_exact_copies(df.union(df.where("doc_id = 1")))
+    assert sorted(r.doc_id for r in again.collect()) == [1, 3]

@@ -23,13 +23,13 @@ def rows_of(n, dim, seed):
     return [(i, [float(v) for v in rng.standard_normal(dim).astype(np.float32)]) for i in range(n)]
 
 
-def test_small_tables_are_searched_in_full(spark):
+def test_full_search_where_asked(spark):
     rows = rows_of(300, 16, 1)
     odd = [(1000, None), (1001, [0.0] * 16), (1002, [None] + [1.0] * 15), (1003, [float("nan")] * 16), (1004, [float("inf")] * 16), (1005, [1.0] * 3), (None, [1.0] * 16), (50, rows[50][1])]
     df = spark.createDataFrame([(i, v, "k") for i, v in rows + odd], "vec_id long, embedding array<float>, score string")
     from pyspark.sql import functions as F
 
-    got = nearest(df, F.col("id") % 50 == 0).orderBy("query_id", "rank").collect()
+    got = nearest(df, F.col("id") % 50 == 0, candidates=10**6).orderBy("query_id", "rank").collect()
     want = brute(rows, range(0, 300, 50))
     assert len(got) == 30
     for q, w in want.items():
@@ -91,3 +91,30 @@ def test_query_opposite_a_cone(spark):
     assert {q: sum(r.query_id == q for r in got) for q in asked} == dict.fromkeys(asked, 5)
     assert [r.vec_id for r in got if r.query_id == 0] == [i for i, _ in want[0]]
     assert sum(r.vec_id in {i for i, _ in want[r.query_id]} for r in got) / (5 * len(want)) >= 0.9
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 7, 20, 500])
+def test_the_forest_serves_small_tables(spark, n):
+    """Every query gets 5 rows, or all there are; recall holds where the forest alone answers."""
+    from pyspark.sql import functions as F
+
+    rows = rows_of(n, 64, n)
+    want = brute(rows, range(0, n, 10))
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("id") % 10 == 0).collect()
+    for q, w in want.items():
+        assert sum(r.query_id == q for r in got) == min(5, n - 1) == len(w)
+    if n == 500:
+        assert sum(r.vec_id in {i for i, _ in want[r.query_id]} for r in got) / (5 * len(want)) >= 0.85
+
+
+def test_clusters_and_outliers(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.standard_normal(24) * 3 + 0.1 * rng.standard_normal((400, 24)) for _ in range(5)] + [rng.standard_normal((10, 24))])
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    asked = [i for i in range(len(rows)) if i % 100 == 0 or i >= 2000]
+    want = brute(rows, asked)
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), (F.col("id") % 100 == 0) | (F.col("id") >= 2000)).collect()
+    assert {q: sum(r.query_id == q for r in got) for q in asked} == dict.fromkeys(asked, 5)
+    assert sum(r.vec_id in {i for i, _ in want[r.query_id]} for r in got) / (5 * len(want)) >= 0.9

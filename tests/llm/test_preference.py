@@ -1,6 +1,6 @@
 import random
 
-from faultline.llm.preference import examples, segments
+from faultline.llm.preference import examples, paired, segments
 
 
 def brute(chosen, rejected):
@@ -48,3 +48,28 @@ def test_repeated_turns_and_empty(spark):
     got = sorted((r.conv_id, r.part, r.turn, r.k, r.rendered.split("\n")[1][:-7]) for r in segments(a, b).collect())
     assert got == [(1, "chosen", 1, 2, "b"), (1, "prompt", 0, 1, "q"), (1, "prompt", 1, 1, "a"), (1, "rejected", 1, 2, "c"), (2, "chosen", 5, 1, "alone")]
     assert segments(a.limit(0), b.limit(0)).count() == 0 and examples(segments(a.limit(0), b.limit(0))).count() == 0
+
+
+def test_completions_stand_side_by_side(spark):
+    kind = "conv_id long, turn int, role string, text string"
+    a = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "good"), (1, 2, "user", "more")], kind)
+    b = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "bad")], kind)
+    got = [(r.turn, r.part, r.chosen and r.chosen.rendered[r.chosen.mask_from :], r.rejected and r.rejected.rendered[r.rejected.mask_from :]) for r in paired(a, b).orderBy("turn").collect()]
+    assert got == [(0, "prompt", "", None), (1, "completion", "good<|end|>\n", "bad<|end|>\n"), (2, "completion", "", None)]
+
+
+def test_query_against_sql(spark):
+    import duckdb
+
+    from faultline.llm.q_preference import ORACLE, op6_preference
+
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{d}/conversations.parquet'")
+    got, want = op6_preference(spark, d), con.execute(ORACLE["op6_preference"])
+    names = sorted(got.columns)
+    assert names == sorted(c[0] for c in want.description)
+    rows = want.fetchdf()[names].astype(object).where(lambda x: x.notna(), None)
+    key = lambda t: tuple((x is None, str(x)) for x in t)
+    norm = lambda t: tuple(int(x) if isinstance(x, float) else x for x in t)
+    assert sorted((norm(t) for t in rows.itertuples(index=False, name=None)), key=key) == sorted((tuple(r) for r in got.select(names).collect()), key=key)

@@ -27,6 +27,14 @@ def test_chunks_of_a_record(size):
         assert r["bytes_so_far"] == at and r["sha256_so_far"] == hashlib.sha256(payload[:at]).hexdigest()
 
 
+def test_very_long_header():
+    out = io.BytesIO()
+    url = "http://a/" + "é" * 600_000
+    warc.write_record(out, 3, url, hashlib.sha256(b"page").hexdigest(), 4, memoryview(b"page"), None)
+    (r,) = warc.read_chunks(io.BytesIO(out.getvalue() + member(b"next")[:0]))
+    assert r["uri"] == url and r["data"] == b"page" and r["page_id"] == 3
+
+
 def test_damage_is_seen():
     good = member(b"x" * 5000)
     with pytest.raises(ValueError):
