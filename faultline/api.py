@@ -127,9 +127,10 @@ class Analysis:
     def propagated(self) -> DataFrame:
         """(fn, kind, name, origin_fn, origin_start, origin_end, depth)."""
         p = self.program
-        direct = catching.uncaught(p.throws.select("fn", "start", "end", "kind", "name"), p.tries, self.options.parity)
+        catch = materialize(catching.catchers(p.tries, p.throws, self.options.parity), "catchers")
+        direct = catching.uncaught(p.throws.select("fn", "start", "end", "kind", "name"), p.tries, catch=catch)
         direct = direct.select("fn", "kind", "name", F.col("fn").alias("origin_fn"), F.col("start").alias("origin_start"), F.col("end").alias("origin_end"))
-        blocked = catching.blocked_edges(self.calls, catching.catchers(p.tries, p.throws, self.options.parity))
+        blocked = catching.blocked_edges(self.calls, catch)
         return propagation.propagate(direct, self.calls, blocked)
 
     @cached_property

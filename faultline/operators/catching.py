@@ -7,7 +7,7 @@ function and a bin of positions, so that one function with very many facts is sp
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,18 +27,27 @@ def bin_width(spans: DataFrame, start: str, end: str) -> int:
     return max(1, int(mean or 1))
 
 
+def _catch_spans(tries: DataFrame, width: int) -> DataFrame:
+    spans = tries.where("catch_start is not null").select("fn", "block_no", "catch_start", "catch_end")
+    return binned(spans, width, "catch_start", "catch_end").withColumnRenamed("fn", "c_fn").withColumnRenamed("bin", "c_bin")
+
+
+def _in_catch(width: int) -> Column:
+    return (F.col("fn") == F.col("c_fn")) & (F.floor(F.col("start") / width) == F.col("c_bin")) & within(F.col("start"), F.col("end"), F.col("catch_start"), F.col("catch_end"))
+
+
 def with_rethrow_flag(tries: DataFrame, throws: DataFrame) -> DataFrame:
     """``tries`` with ``rethrows``: whether a rethrow of the function lies within the block's catch span."""
-    r = throws.where("kind = 'rethrow'").select("fn", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    has = tries.alias("t").join(r.alias("r"), (F.col("t.fn") == F.col("r.fn")) & within(F.col("r_start"), F.col("r_end"), F.col("catch_start"), F.col("catch_end")), "left_semi").select("fn", "block_no", F.lit(True).alias("rethrows"))
-    return tries.join(has.distinct(), ["fn", "block_no"], "left").withColumn("rethrows", F.coalesce("rethrows", F.lit(False)))
+    width = bin_width(tries, "catch_start", "catch_end")
+    r = throws.where("kind = 'rethrow'").select("fn", "start", "end")
+    has = _catch_spans(tries, width).join(r, _in_catch(width), "left_semi").select(F.col("c_fn").alias("fn"), "block_no", F.lit(True).alias("rethrows")).distinct()
+    return tries.join(has, ["fn", "block_no"], "left").withColumn("rethrows", F.coalesce("rethrows", F.lit(False)))
 
 
 def outside_catches(throws: DataFrame, tries: DataFrame) -> DataFrame:
     """``throws`` without the rethrows that lie within a catch span of their own function."""
-    c = tries.where("catch_start is not null").select(F.col("fn").alias("c_fn"), "catch_start", "catch_end")
-    cond = (F.col("kind") == "rethrow") & (F.col("fn") == F.col("c_fn")) & within(F.col("start"), F.col("end"), F.col("catch_start"), F.col("catch_end"))
-    return throws.join(c, cond, "left_anti")
+    width = bin_width(tries, "catch_start", "catch_end")
+    return throws.join(_catch_spans(tries, width), (F.col("kind") == "rethrow") & _in_catch(width), "left_anti")
 
 
 def catchers(tries: DataFrame, throws: DataFrame, parity: bool = False) -> DataFrame:
@@ -66,19 +75,14 @@ def caught_at(points: DataFrame, catch: DataFrame, how: str = "left_anti", width
     width = width or bin_width(catch, "try_start", "try_end")
     c = binned(catch, width).select(F.col("fn").alias("c_fn"), F.col("bin").alias("c_bin"), "try_start", "try_end", "caught")
     at = (F.col("fn") == F.col("c_fn")) & (F.floor(F.col("pos") / width) == F.col("c_bin")) & contains(F.col("try_start"), F.col("try_end"), F.col("pos")) & (F.col("kind") != "rethrow")
-    # the type is an equi key where there is one: two joins, each without a disjunction
-    every, typed = c.where("caught is null"), c.where("caught is not null")
-    match = at & (F.col("kind") == "named") & (F.col("name") == F.col("caught"))
-    if how == "left_anti":
-        return points.join(every, at, "left_anti").join(typed, match, "left_anti")
-    key = [c for c in points.columns if c != "__"]
-    return points.join(every, at, "left_semi").unionByName(points.join(typed, match, "left_semi")).dropDuplicates(key)
+    fits = F.col("caught").isNull() | ((F.col("kind") == "named") & (F.col("name") == F.col("caught")))
+    return points.join(c, at & fits, how)
 
 
-def uncaught(throws: DataFrame, tries: DataFrame, parity: bool = False) -> DataFrame:
-    """The throws that leave their own function."""
+def uncaught(throws: DataFrame, tries: DataFrame, parity: bool = False, catch: DataFrame | None = None) -> DataFrame:
+    """The throws that leave their own function.  ``catch``: the catchers, where they are at hand."""
     pts = outside_catches(throws, tries).withColumn("pos", F.col("start"))
-    return caught_at(pts, catchers(tries, throws, parity)).drop("pos")
+    return caught_at(pts, catchers(tries, throws, parity) if catch is None else catch).drop("pos")
 
 
 def blocked_edges(sites: DataFrame, catch: DataFrame, width: int | None = None) -> DataFrame:
@@ -88,15 +92,14 @@ def blocked_edges(sites: DataFrame, catch: DataFrame, width: int | None = None)
     a block that catches the error.  Types that no block names need no row, so nothing is crossed with the set of types.
     """
     width = width or bin_width(catch, "try_start", "try_end")
+    edge, site = Window.partitionBy("caller", "callee"), Window.partitionBy("caller", "callee", "pos")
     s = sites.select("caller", "callee", F.col("start").alias("pos")).distinct()
     c = binned(catch, width).select("fn", "bin", "try_start", "try_end", "caught")
-    hit = s.join(c, (F.col("caller") == F.col("fn")) & (F.floor(F.col("pos") / width) == F.col("bin")) & contains(F.col("try_start"), F.col("try_end"), F.col("pos"))).select("caller", "callee", "pos", "caught").distinct()
-    whole = hit.where("caught is null").select("caller", "callee", "pos").withColumn("whole", F.lit(True))
+    hit = s.join(c, (F.col("caller") == F.col("fn")) & (F.floor(F.col("pos") / width) == F.col("bin")) & contains(F.col("try_start"), F.col("try_end"), F.col("pos")))
+    # a site where everything is caught counts as that alone, others count once for each type
+    kinds = hit.select("caller", "callee", "pos", F.when(F.max(F.col("caught").isNull()).over(site), None).otherwise(F.col("caught")).alias("caught")).distinct()
+    counts = kinds.groupBy("caller", "callee", "caught").agg(F.count("*").alias("k"))
+    counts = counts.withColumn("n_whole", F.coalesce(F.max(F.when(F.col("caught").isNull(), F.col("k"))).over(edge), F.lit(0)))
     n = s.groupBy("caller", "callee").agg(F.count("*").alias("n"))
-    covered = whole.groupBy("caller", "callee").agg(F.count("*").alias("n_whole"))
-    # sites that catch a type by name, besides those that catch everything
-    typed = hit.where("caught is not null").join(whole.select("caller", "callee", "pos"), ["caller", "callee", "pos"], "left_anti").groupBy("caller", "callee", "caught").agg(F.count("*").alias("n_typed"))
-    edge = n.join(covered, ["caller", "callee"], "left").withColumn("n_whole", F.coalesce("n_whole", F.lit(0)))
-    all_ = edge.where("n_whole = n").select("caller", "callee", F.lit(None).cast("string").alias("caught"))
-    some = typed.join(edge.where("n_whole < n"), ["caller", "callee"]).where("n_typed + n_whole = n").select("caller", "callee", "caught")
-    return all_.unionByName(some)
+    full = F.when(F.col("caught").isNull(), F.col("n_whole") == F.col("n")).otherwise((F.col("n_whole") < F.col("n")) & (F.col("k") + F.col("n_whole") == F.col("n")))
+    return counts.join(n, ["caller", "callee"]).where(full).select("caller", "callee", "caught")

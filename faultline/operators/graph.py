@@ -35,7 +35,7 @@ def callees(edges: DataFrame) -> DataFrame:
 def rounds(first: DataFrame, step, key: list[str], most: int | None = None) -> DataFrame:
     """Least fixpoint: ``first`` and all that ``step(delta)`` adds; ``key`` columns tell rows apart, others (such as the
     depth) come from the first round that reaches a row.  Each round is written, so plans stay short and lost executors
-    cost one round; a round is a few shuffles on the new rows only."""
+    cost one round.  A round shuffles what it adds and the keys found so far."""
     parts = [materialize(first.dropDuplicates(key), "round")]
     while True:
         delta = parts[-1]
@@ -74,8 +74,22 @@ def reachable_edges(edges: DataFrame, roots: DataFrame | None = None) -> DataFra
     return at.join(e, at.fn == e.caller).select("root", "caller", "callee").distinct()
 
 
-def ancestors(relations: DataFrame, distinct: bool = True) -> DataFrame:
-    """(type, ancestor, depth): closure of ``relations`` (child, parent), by name and safe on cycles; depth is the least."""
+def ancestors(relations: DataFrame, distinct: bool = True, most: int = 64) -> DataFrame:
+    """(type, ancestor, depth): closure of ``relations`` (child, parent), by name and safe on cycles; depth is the least.
+
+    With ``distinct=False`` an ancestor comes once for each way to it that passes no type twice, with that way's depth, as a
+    walk up the parents meets it (so a diamond's top comes twice); ``most`` bounds the length of a way.
+    """
+    if not distinct:
+        e = materialize(relations.select("child", "parent"), "relations")
+        walk = e.select(F.col("child").alias("type"), F.col("parent").alias("ancestor"), F.array("child", "parent").alias("way")).where("type != ancestor")
+        parts = [materialize(walk, "ways")]
+        for _ in range(most - 1):
+            up = parts[-1].join(e, F.col("ancestor") == F.col("child")).where(~F.array_contains("way", F.col("parent")))
+            parts.append(materialize(up.select("type", F.col("parent").alias("ancestor"), F.concat("way", F.array("parent")).alias("way")), "ways"))
+            if not parts[-1].limit(1).count():
+                break
+        return reduce(DataFrame.unionByName, parts).select("type", "ancestor", (F.size("way") - 1).alias("depth"))
     e = materialize(relations.select("child", "parent").distinct(), "relations")
     first = e.select(F.col("child").alias("type"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
 

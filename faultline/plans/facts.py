@@ -7,10 +7,14 @@ error events are throws, views are try blocks, clicks are calls, sign-ups are de
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import catching, graph
+from ..storage import materialize
+
 
 @dataclass
 class Facts:
@@ -20,6 +24,24 @@ class Facts:
     calls: DataFrame
     declared: DataFrame
 
+    @cached_property
+    def catch(self) -> DataFrame:
+        """Catchers, derived once for all that reads them."""
+        return materialize(catching.catchers(self.tries, self.throws), "catchers")
+
+    @cached_property
+    def direct(self) -> DataFrame:
+        """Throws that leave their function, derived once."""
+        return materialize(catching.uncaught(self.throws, self.tries, catch=self.catch), "direct")
+
+    @cached_property
+    def sites(self) -> DataFrame:
+        return materialize(graph.call_sites(self.calls, self.functions), "sites")
+
+    @cached_property
+    def blocked(self) -> DataFrame:
+        return materialize(catching.blocked_edges(self.sites, self.catch), "blocked")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -49,13 +49,13 @@ def rethrow_blocks(spark, d):
 @query(sql("SELECT fn, s AS start, kind, name FROM direct"))
 def uncaught_direct(spark, d):
     f = load(spark, d)
-    return catching.uncaught(f.throws, f.tries).select("fn", "start", "kind", "name")
+    return f.direct.select("fn", "start", "kind", "name")
 
 
 @query(sql("SELECT t.fn, t.s AS start, t.name FROM throws t WHERE t.kind <> 'rethrow' AND EXISTS (SELECT 1 FROM catchers c WHERE c.fn = t.fn AND t.s >= c.ts AND t.s < c.te AND (c.ct IS NULL OR (t.kind = 'named' AND c.ct = t.name)))"))
 def caught_direct(spark, d):
     f = load(spark, d)
-    return catching.caught_at(f.throws.withColumn("pos", F.col("start")), catching.catchers(f.tries, f.throws), "left_semi").select("fn", "start", "name")
+    return catching.caught_at(f.throws.withColumn("pos", F.col("start")), f.catch, "left_semi").select("fn", "start", "name")
 
 
 @query(sql("SELECT t.fn, t.s AS start, CAST(count(*) AS BIGINT) AS blocks FROM throws t JOIN tries c ON c.fn = t.fn AND t.s >= c.ts AND t.s < c.te GROUP BY ALL"))
@@ -72,7 +72,7 @@ def throws_in_blocks(spark, d):
 
 
 def _edges(f):
-    return graph.call_sites(f.calls, f.functions)
+    return f.sites
 
 
 @query(sql("SELECT caller, callee, CAST(count(*) AS BIGINT) AS n_sites, CAST(min(s) AS BIGINT) AS first_site, CAST(max(s) AS BIGINT) AS last_site FROM calls WHERE caller IN (SELECT fn FROM functions) AND callee IN (SELECT fn FROM functions) GROUP BY ALL"))
@@ -104,14 +104,14 @@ def reachable_edges(spark, d):
 
 
 def _blocked(f):
-    return catching.blocked_edges(_edges(f), catching.catchers(f.tries, f.throws))
+    return f.blocked
 
 
 @query(sql("SELECT p.caller, p.callee, p.kind, p.name FROM edge_pass p JOIN (SELECT DISTINCT fn, kind, name FROM direct) x ON x.fn = p.callee AND x.kind = p.kind AND x.name IS NOT DISTINCT FROM p.name"))
 def edge_pass(spark, d):
     """Which direct errors of the callee an edge lets pass."""
     f = load(spark, d)
-    direct = catching.uncaught(f.throws, f.tries).select(F.col("fn"), "kind", "name").distinct().withColumn("callee0", F.col("fn"))
+    direct = f.direct.select(F.col("fn"), "kind", "name").distinct().withColumn("callee0", F.col("fn"))
     up = propagation.passing(direct, graph.callees(_edges(f)), _blocked(f))
     return up.select(F.col("fn").alias("caller"), F.col("callee0").alias("callee"), "kind", "name")
 
@@ -120,7 +120,7 @@ def edge_pass(spark, d):
 
 
 def _propagated(f):
-    direct = catching.uncaught(f.throws, f.tries)
+    direct = f.direct
     return propagation.propagate(direct, _edges(f), _blocked(f), ["fn", "kind", "name"])
 
 
@@ -133,7 +133,7 @@ def propagated_set(spark, d):
 def propagated_depth2(spark, d):
     """What reaches each function over at most two calls, with the least number of calls."""
     f = load(spark, d)
-    return propagation.propagate(catching.uncaught(f.throws, f.tries), _edges(f), _blocked(f), ["fn", "kind", "name"], most=2)
+    return propagation.propagate(f.direct, _edges(f), _blocked(f), ["fn", "kind", "name"], most=2)
 
 
 _PATHS = """
@@ -147,7 +147,7 @@ hops(fn, origin, start, kind, name, path, depth) AS (SELECT fn, fn, s, kind, nam
 def propagated_paths(spark, d):
     """Every way of every throw over at most two calls, with multiplicity."""
     f = load(spark, d)
-    direct = catching.uncaught(f.throws, f.tries).select("fn", "start", "kind", "name")
+    direct = f.direct.select("fn", "start", "kind", "name")
     p = propagation.paths(direct, _edges(f), _blocked(f), 2)
     return p.select("fn", "origin", "start", "kind", "name", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "depth")
 
@@ -176,14 +176,14 @@ def unknown_declared(spark, d):
     """Some functions declare ``unknown``, which covers their unknown errors."""
     f = load(spark, d)
     extra = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("fn"), F.lit("unknown").alias("error_type"))
-    return declarations.missing_declarations(catching.uncaught(f.throws, f.tries).select("fn", "kind", "name").distinct(), f.declared.unionByName(extra))
+    return declarations.missing_declarations(f.direct.select("fn", "kind", "name").distinct(), f.declared.unionByName(extra))
 
 
 @query(sql("SELECT DISTINCT c.fn, CASE WHEN c.kind = 'unknown' AND c.s % 3 = 0 THEN 'named' ELSE c.kind END AS kind, CASE WHEN c.kind = 'unknown' AND c.s % 3 = 0 THEN 'E1' ELSE c.name END AS name FROM direct c WHERE NOT EXISTS (SELECT 1 FROM declared x WHERE x.fn = c.fn AND x.error_type = CASE WHEN c.kind = 'unknown' AND c.s % 3 = 0 THEN 'E1' ELSE c.name END) OR c.kind = 'rethrow'"))
 def unknown_resolved(spark, d):
     """Unknown errors whose type is known at their origin count as named."""
     f = load(spark, d)
-    direct = catching.uncaught(f.throws, f.tries)
+    direct = f.direct
     known = direct.where("kind = 'unknown' and start % 3 = 0").select("fn", "start", F.lit("E1").alias("type"))
     none = spark.createDataFrame([], "child string, parent string")
     p = direct.select("fn", "kind", "name", F.col("fn").alias("origin_fn"), F.col("start").alias("origin_start"))
@@ -384,7 +384,7 @@ def report_json_rows(spark, d):
 def help_types(spark, d):
     """Types in order of place, equal neighbours once."""
     f = load(spark, d)
-    rows = catching.uncaught(f.throws, f.tries).withColumn("label", F.coalesce("name", F.lit("unknown")))
+    rows = f.direct.withColumn("label", F.coalesce("name", F.lit("unknown")))
     return declarations.help_types(rows, ["fn"], ["start", "label"])
 
 
