@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,11 @@ from pyspark.sql import functions as F
 
 from . import sinks
 from .functions.text import line_of
-from .operators import catching, declarations, graph, propagation, resolution
+from .operators import catching, declarations, propagation, resolution
+from .operators.fingerprint import fingerprint
 from .operators.typing import ExactResolver, Resolver, StructuralResolver
 from .session import ship
-from .sources import cache, extraction, scan
+from .sources import cache, config, extraction, scan
 from .storage import materialize
 
 TOOL = "faultline-1"
@@ -48,19 +50,33 @@ def _candidates(file: str, source: str) -> list[str]:
 
 class Analysis:
     def __init__(self, spark: SparkSession, paths: Sequence[str], exclude: Sequence[str] = (), options: Options | None = None):
-        self.spark, self.options = spark, options or Options()
+        self.spark, self.options, self.reused = spark, options or Options(), False
         if self.options.types not in ("exact", "structural"):
             raise ValueError("types is 'exact' or 'structural'")
         ship(spark)
         self.listed = scan.list_sources(paths, exclude)
         self.files = self.listed[: self.options.max_files]
+        self.left_out = len(self.listed) - len(self.files)
+        self.root = os.path.realpath(os.path.commonpath([os.path.abspath(p if os.path.isdir(p) else os.path.dirname(p) or ".") for p in paths])) if paths else os.getcwd()
+
+    @cached_property
+    def store(self) -> cache.Store | None:
+        """The cache; another workspace (options, or files that decide what names mean) keeps its extractions alone."""
+        o = self.options
+        if not o.cache_dir:
+            return None
+        files = config.read_configs(self.spark, self.root, self.files)
+        found = config.resolution_fingerprint(files, config.references(files)).first()
+        shape = replace(o, cache_dir=None)
+        workspace = hashlib.sha256(f"{shape}:{found.fingerprint if found else ''}".encode()).hexdigest()
+        return cache.Store.load(self.spark, o.cache_dir, TOOL, workspace)
 
     @cached_property
     def _loaded(self) -> tuple[DataFrame, extraction.Program, DataFrame]:
         """(sources, program, imports with their files): entry files and what their imports lead to."""
         o = self.options
         known, fresh, rows, sources = set(self.files), list(self.files), None, None
-        store = cache.Store.load(self.spark, o.cache_dir, TOOL, repr(o)) if o.cache_dir else None
+        store = self.store
         for depth in range(o.max_depth + 1):
             read = materialize(scan.read_sources(self.spark, fresh, entry=depth == 0), "sources")
             old = store.get("files") if store else None
@@ -147,7 +163,31 @@ class Analysis:
 
     @cached_property
     def missing(self) -> DataFrame:
-        """Undeclared errors of functions of entry files, with where they come from."""
+        """Undeclared errors of functions of entry files, with where they come from.  With a cache they are taken from it if
+        no source of the run has changed; a file that has none is cached as such."""
+        if self.store is None:
+            return self._missing
+        now = self.sources.select("path", "content_hash")
+        whole = fingerprint(now.withColumn("k", F.lit(0)), ["k"], F.concat_ws("=", "path", "content_hash")).select("fingerprint")
+        wanted = self.sources.where("is_entry").select(F.col("path").alias("key")).withColumn("fingerprint", F.lit(whole.first().fingerprint))
+        old = self.store.get("diagnostics")
+        if old is not None:
+            deps = old.select("key", F.inline("deps")).distinct()
+            valid = cache.valid_diagnostics(old, wanted, deps, now)
+            if not wanted.join(valid.select("key"), "key", "left_anti").limit(1).count():
+                self.reused = True
+                return valid.select(F.inline("rows"))
+        rows = self._missing
+        found = rows.groupBy(F.col("file").alias("key")).agg(F.collect_list(F.struct(*[F.col(c) for c in rows.columns])).alias("rows"))
+        kind = found.schema["rows"].dataType.simpleString()
+        deps = F.array(F.struct(F.col("key").alias("path"), F.col("content_hash")))
+        own = wanted.join(now.withColumnRenamed("path", "key"), "key").join(found, "key", "left").select("key", "fingerprint", deps.alias("deps"), F.coalesce("rows", F.array().cast(kind)).alias("rows"))
+        self.store.update("diagnostics", own, ["key"])
+        self.store.save()
+        return rows
+
+    @cached_property
+    def _missing(self) -> DataFrame:
         p = self.program
         m = declarations.missing_declarations(self.propagated, p.declared, self.resolver)
         f = p.functions.select("fn", "file", F.col("name").alias("function"), "start", "end")

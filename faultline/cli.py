@@ -26,6 +26,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         c.add_argument("-e", "--exclude", action="append", default=[])
         c.add_argument("--types", choices=("exact", "structural"), default="structural")
         c.add_argument("--cache", default=None)
+        c.add_argument("--max-files", type=int, default=None, help="analyse at most so many files; the rest is reported")
         if name == "check":
             c.add_argument("-f", "--format", default="text")
     a = parser.parse_args(argv)
@@ -40,7 +41,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         if not list_sources(a.paths, a.exclude):
             print("No TypeScript files found")
             return 0
-        analysis = Analysis(spark or session(), a.paths, a.exclude, Options(types=a.types, cache_dir=a.cache))
+        analysis = Analysis(spark or session(), a.paths, a.exclude, Options(types=a.types, cache_dir=a.cache, max_files=a.max_files))
+        if analysis.left_out:
+            print(f"warning: {analysis.left_out} files beyond --max-files are left out", file=sys.stderr)
         if a.command == "fix":
             print(f"Fixed {analysis.fix()} file(s)")
             return 0
@@ -50,6 +53,11 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     except (AnalysisError, ScanError, OSError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
+    except Exception as e:  # a failure on the cluster is an error too: 1 means findings
+        if type(e).__module__.partition(".")[0] not in ("pyspark", "py4j"):
+            raise
+        print(f"error: {str(e).splitlines()[0]}", file=sys.stderr)
+        return 2
 
 
 if __name__ == "__main__":

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import docs, text
 from ..operators import catching, declarations, graph, propagation, resolution
 from ..operators.typing import StructuralResolver
-from ..sources import scan
+from ..operators.fingerprint import function_fingerprints
+from ..sources import config, scan
 from .facts import CLOSURE, load, sql, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -429,17 +430,24 @@ def cache_misses(spark, d):
     return misses(content_hash(spark, d).withColumnRenamed("page_id", "path"), _cached(spark, d)).select(F.col("path").alias("page_id"))
 
 
-@query(sql("SELECT r.root AS fn, sha256(string_agg(r.fn || ':' || coalesce(h.sig, ''), ';' ORDER BY r.fn)) AS fingerprint FROM (SELECT root, fn FROM reach UNION SELECT fn, fn FROM functions) r LEFT JOIN (SELECT fn, string_agg(kind || '/' || coalesce(name, '') || '/' || s, ',' ORDER BY s, kind, coalesce(name, '')) AS sig FROM throws GROUP BY fn) h ON h.fn = r.fn GROUP BY r.root", "reach(root, fn) AS (SELECT caller, callee FROM edges UNION SELECT r.root, e.callee FROM reach r JOIN edges e ON e.caller = r.fn)"))
+def _digest(group: str, part: str, source: str, name: str = "fingerprint") -> str:
+    """SQL of operators.fingerprint."""
+    sums = ", ".join(f"CAST(sum(CAST('0x' || substr(sha256({part}), {15 * k + 1}, 15) AS UBIGINT)) AS VARCHAR)" for k in range(4))
+    return f"SELECT {group}, sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {sums})) AS {name} FROM {source} GROUP BY {group}"
+
+
+_REACH = "reach(root, fn) AS (SELECT caller, callee FROM edges UNION SELECT r.root, e.callee FROM reach r JOIN edges e ON e.caller = r.fn)"
+_FACTS = "fact AS (SELECT fn, kind || '/' || coalesce(name, '') || '/' || s AS fact FROM throws), own AS (" + _digest("fn", "fact", "fact", "facts") + "), below AS (" + _digest("root", "r.fn || ':' || coalesce(facts, '')", "(SELECT root, fn FROM reach UNION SELECT fn, fn FROM functions) r LEFT JOIN own ON own.fn = r.fn", "below") + ")"
+
+
+@query(sql("SELECT root AS fn, sha256('mode:' || below) AS fingerprint FROM below", _REACH, _FACTS))
 def dep_fingerprint(spark, d):
     """What a function's result depends on: its own facts and those of all it reaches."""
     f = load(spark, d)
     roots = f.functions.withColumnRenamed("fn", "root")
     at = graph.reachable(_edges(f), roots).unionByName(roots.select("root", F.col("root").alias("fn"))).distinct()
-    one = F.struct("start", "kind", F.coalesce("name", F.lit("")).alias("name"))
-    sig = f.throws.groupBy("fn").agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: F.concat(x["kind"], F.lit("/"), x["name"], F.lit("/"), x["start"].cast("string"))), ",").alias("sig"))
-    part = F.struct("fn", F.coalesce("sig", F.lit("")).alias("sig"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: F.concat(x["fn"].cast("string"), F.lit(":"), x["sig"])), ";")
-    return at.join(sig, "fn", "left").groupBy(F.col("root").alias("fn")).agg(F.sha2(joined, 256).alias("fingerprint"))
+    fact = F.concat("kind", F.lit("/"), F.coalesce("name", F.lit("")), F.lit("/"), F.col("start").cast("string"))
+    return function_fingerprints(at, f.throws.select("fn", fact.alias("fact")), "mode")
 
 
 @query("SELECT o_orderkey AS key FROM orders WHERE o_orderkey % 4 <> 0 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber % 2 = 0 AND l_returnflag = 'R')")
@@ -465,12 +473,98 @@ def discovery_bfs(spark, d):
     return discover(spark.createDataFrame([(0,)], "path long"), e, 10).select(F.col("path").alias("fn"), "depth")
 
 
-@query("WITH RECURSIVE refs(a, b) AS (SELECT p_partkey, (p_partkey * 7 + p_size) % (SELECT count(*) FROM part) FROM part WHERE p_size % 2 = 0), reach(root, fin) AS (SELECT a, b FROM refs UNION SELECT r.root, x.b FROM reach r JOIN refs x ON x.a = r.fin) SELECT root, fin AS config FROM reach")
+_CONFIGS = """WITH RECURSIVE c AS (SELECT p_partkey AS k, p_size % 5 AS kind, (p_partkey * 7 + p_size) % (SELECT count(*) FROM part) AS j FROM part),
+refs AS (SELECT '/w/p' || k || '/tsconfig.json' AS path, CASE WHEN kind = 4 THEN 'references' ELSE 'extends' END AS kind,
+  CASE kind WHEN 0 THEN '../p' || j || '/tsconfig' WHEN 1 THEN '../none' || k || '.json' WHEN 2 THEN '@x/base' WHEN 3 THEN '<non-string>' ELSE '../p' || j END AS reference,
+  CASE WHEN kind IN (0, 4) AND j IN (SELECT k FROM c) THEN '/w/p' || j || '/tsconfig.json' END AS target,
+  CASE WHEN kind IN (0, 4) AND j IN (SELECT k FROM c) THEN NULL WHEN kind IN (0, 1, 4) THEN '<missing>' WHEN kind = 2 THEN '<package-ref>' ELSE '<invalid>' END AS marker, k, j, c.kind AS shape FROM c)"""
+
+
+def _config_files(spark, d):
+    """A configuration a part: it extends another, a file that isn't there, a package, no string, or refers to a project."""
+    p = table(spark, d, "part")
+    k, j = F.col("p_partkey").cast("string"), ((F.col("p_partkey") * 7 + F.col("p_size")) % F.lit(max(1, p.count()))).cast("string")
+    kind = F.col("p_size") % 5
+    content = F.when(kind == 0, F.concat(F.lit('{"extends": "../p'), j, F.lit('/tsconfig"}'))).when(kind == 1, F.concat(F.lit('{"extends": "../none'), k, F.lit('.json"}'))).when(kind == 2, F.lit('{"extends": "@x/base"}')).when(kind == 3, F.lit('{"extends": 5}')).otherwise(F.concat(F.lit('{"references": [{"path": "../p'), j, F.lit('"}]}')))
+    return p.select(F.concat(F.lit("/w/p"), k, F.lit("/tsconfig.json")).alias("path"), content.alias("content"))
+
+
+@query(_CONFIGS + " SELECT path, kind, reference, target, marker FROM refs")
+def config_references(spark, d):
+    """What configurations refer to, and which references lead nowhere."""
+    return config.references(_config_files(spark, d))
+
+
+@query(_CONFIGS + ", reach(root, path) AS (SELECT path, target FROM refs WHERE target IS NOT NULL UNION SELECT r.root, x.target FROM reach r JOIN refs x ON x.path = r.path WHERE x.target IS NOT NULL) SELECT root, path FROM reach")
 def config_closure(spark, d):
     """Configurations that extend others: all that each depends on."""
-    p = table(spark, d, "part")
-    refs = p.where("p_size % 2 = 0").select(F.col("p_partkey").alias("caller"), ((F.col("p_partkey") * 7 + F.col("p_size")) % F.lit(max(1, p.count()))).alias("callee"))
-    return graph.reachable(refs).withColumnRenamed("fn", "config")
+    return config.closure(config.references(_config_files(spark, d)))
+
+
+@query(
+    _CONFIGS + """, contents AS (SELECT path, CASE shape WHEN 0 THEN '{"extends": "../p' || j || '/tsconfig"}' WHEN 1 THEN '{"extends": "../none' || k || '.json"}' WHEN 2 THEN '{"extends": "@x/base"}' WHEN 3 THEN '{"extends": 5}' ELSE '{"references": [{"path": "../p' || j || '"}]}' END AS content FROM refs),
+entries AS (SELECT 0 AS k, path || '=' || sha256(content) AS part FROM contents UNION ALL SELECT 0, path || '#' || kind || '#' || reference || '=' || marker FROM refs WHERE marker IS NOT NULL),
+digests AS (""" + _digest("k", "part", "entries") + ") SELECT fingerprint FROM digests"
+)
+def resolution_fingerprint(spark, d):
+    """The digest of all files that decide what names resolve to."""
+    files = _config_files(spark, d)
+    return config.resolution_fingerprint(files, config.references(files))
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS file, l_linenumber AS start, 'd' || l_suppkey AS def_file, l_partkey AS def_line FROM lineitem WHERE l_linenumber % 2 = 1 AND l_partkey % 3 <> 0 AND l_orderkey % 2 = 0 AND l_suppkey % 5 <> 0 AND l_suppkey IN (SELECT s_suppkey FROM supplier)")
+def definition_hits(spark, d):
+    """Cached definitions that still hold: same call, same definition file, same resolution."""
+    from ..sources import cache
+
+    li = table(spark, d, "lineitem")
+    call = [F.col("l_orderkey").cast("string").alias("file"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 1).alias("end"), F.concat(F.lit("f"), "l_partkey").alias("callee_name")]
+    calls = li.select(*call, F.col("l_linestatus").alias("content_hash"))
+    was = F.when(F.col("l_partkey") % 3 == 0, F.lit("old")).otherwise(F.col("l_linestatus")).alias("content_hash")
+    cached = li.where("l_linenumber % 2 = 1").select(*call, was, F.concat(F.lit("d"), "l_suppkey").alias("def_file"), F.lit("v1").alias("def_hash"), F.col("l_partkey").alias("def_line"), F.when(F.col("l_orderkey") % 2 == 0, F.lit("r1")).otherwise(F.lit("r0")).alias("resolution"))
+    now = table(spark, d, "supplier").select(F.concat(F.lit("d"), "s_suppkey").alias("path"), F.when(F.col("s_suppkey") % 5 == 0, F.lit("v2")).otherwise(F.lit("v1")).alias("content_hash"))
+    return cache.definition_hits(calls, cached, now, "r1").select("file", "start", "def_file", "def_line")
+
+
+def _type_checks(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("file"), F.col("p_brand").alias("content_hash"), F.lit("s").alias("scope"), F.col("p_type").alias("thrown"), F.col("p_name").alias("declared"), "p_partkey", "p_size")
+    cached = p.where("p_partkey % 4 != 0").withColumn("content_hash", F.when(F.col("p_partkey") % 7 == 0, F.lit("old")).otherwise(F.col("content_hash"))).withColumn("fits", F.col("p_size") % 2 == 0)
+    return p.drop("p_partkey", "p_size"), cached.drop("p_partkey", "p_size")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS file, p_size % 2 = 0 AS fits FROM part WHERE p_partkey % 4 <> 0 AND p_partkey % 7 <> 0")
+def type_check_hits(spark, d):
+    """Type checks that the cache answers."""
+    from ..sources.cache import type_check_hits as hits
+
+    return hits(*_type_checks(spark, d)).select("file", "fits")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS file, CASE WHEN p_partkey % 4 <> 0 AND p_partkey % 7 <> 0 THEN p_size % 2 = 0 ELSE p_type = p_name OR p_name LIKE '%a%' END AS fits, p_partkey % 4 <> 0 AND p_partkey % 7 <> 0 AS cached FROM part")
+def type_check_through(spark, d):
+    """Type checks by the cache where it knows them, else by the resolver; all are recorded as dependencies."""
+    from ..sources.cache import read_through
+
+    pairs, cached = _type_checks(spark, d)
+    decide = lambda rows: rows.withColumn("fits", (F.col("thrown") == F.col("declared")) | F.col("declared").contains("a"))
+    return read_through(pairs, cached, decide).select("file", "fits", "cached")
+
+
+@query("SELECT t.name AS name, t.run, CASE WHEN t.run = 'other' AND t.name <> 'files' THEN NULL ELSE (SELECT count(*) FROM region) END AS n FROM (VALUES ('files', 'same'), ('diagnostics', 'same'), ('files', 'other'), ('diagnostics', 'other')) t(name, run)")
+def workspace_change(spark, d):
+    """A saved store as the same workspace finds it, and another one: extractions stay, all else is gone."""
+    from ..sources.cache import Store
+    from ..storage import new_path
+
+    folder = new_path(spark, "store").removeprefix("file://")
+    one, rows = Store(spark, folder, "t", "w1"), table(spark, d, "region").select(F.col("r_name").alias("path"))
+    for t in ("files", "diagnostics"):
+        one.update(t, rows, ["path"])
+    one.save()
+    moved = Store.load(spark, folder, "t", "w1")
+    moved.set_workspace("w2")
+    out = [(t, run, None if s.get(t) is None else s.get(t).count()) for run, s in (("same", Store.load(spark, folder, "t", "w1")), ("other", moved)) for t in ("files", "diagnostics")]
+    return spark.createDataFrame(out, "name string, run string, n long")
 
 
 @query("SELECT doc_id, CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1 + CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS BIGINT) AS n_lines, sha256(CASE WHEN doc_id % 3 = 0 THEN '/**' || chr(10) || ' */' || chr(10) ELSE '' END || coalesce(text, '')) AS digest FROM documents")
@@ -561,3 +655,6 @@ def fixed_sources(spark, d):
     m = missing.join(o, "origin_fn").select("fn", "kind", "name", "origin_file", "origin_name", F.col("depth").alias("ordinal"))
     files = _generated(spark, d).select("path", "content")
     return insert_lines(files, fixes(files, p.functions, m))
+
+
+from . import shapes  # noqa: E402, F401  more queries, registered here

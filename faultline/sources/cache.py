@@ -48,6 +48,15 @@ def type_check_hits(pairs: DataFrame, cached: DataFrame) -> DataFrame:
     return pairs.join(cached.select(*key, "fits"), key)
 
 
+def read_through(pairs: DataFrame, cached: DataFrame, decide) -> DataFrame:
+    """``pairs`` with ``fits`` and ``cached``: by the cache where it knows them, else by ``decide(rows) -> rows with fits``.
+    All rows are what a result that used them depends on; those that aren't ``cached`` are the cache's news."""
+    key = ["file", "content_hash", "scope", "thrown", "declared"]
+    known = type_check_hits(pairs, cached).select(*key, "fits", F.lit(True).alias("cached"))
+    news = decide(pairs.join(cached.select(*key), key, "left_anti")).select(*key, "fits", F.lit(False).alias("cached"))
+    return known.unionByName(news)
+
+
 class Store:
     """The tables in a folder.  ``load`` gives an empty store for a missing, broken or other version's folder; another tool
     version or workspace keeps the extractions and drops the rest."""
@@ -55,6 +64,7 @@ class Store:
     def __init__(self, spark: SparkSession, folder: str, tool: str, workspace: str):
         self.spark, self.folder, self.tool, self.workspace = spark, folder, tool, workspace
         self.tables: dict[str, DataFrame] = {}
+        self.version: str | None = None
         self.dirty = False
 
     @classmethod
@@ -65,6 +75,7 @@ class Store:
                 meta = json.load(f)
             if meta["schema_version"] != SCHEMA_VERSION:
                 return s
+            s.version = meta["version"]
             same = meta["tool"] == tool and meta["workspace"] == workspace
             for t in meta["tables"]:
                 if t in TABLES and (same or t == "files"):
@@ -106,9 +117,11 @@ class Store:
         with open(f"{pointer}.{version}", "w", encoding="utf-8") as f:
             json.dump({"schema_version": SCHEMA_VERSION, "tool": self.tool, "workspace": self.workspace, "version": version, "tables": sorted(self.tables)}, f)
         os.replace(f"{pointer}.{version}", pointer)
-        for old in os.listdir(self.folder):
-            if old.startswith("v-") and old != version:
-                shutil.rmtree(os.path.join(self.folder, old), ignore_errors=True)
+        # the version before stays for runs that have loaded it; older ones go
+        old = [v for v in os.listdir(self.folder) if v.startswith("v-") and v not in (version, self.version)]
+        for v in old:
+            shutil.rmtree(os.path.join(self.folder, v), ignore_errors=True)
+        self.version = version
         self.tables = {t: self.spark.read.parquet(os.path.join(self.folder, version, t)) for t in self.tables}
         self.dirty = False
         return True

@@ -38,7 +38,7 @@ def extractions(files: DataFrame) -> DataFrame:
         for batch in batches:
             for path, content, digest in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 f = extract(path, content or "")
-                row = {"path": path, "content_hash": digest, "error": f.error, **{t: getattr(f, t) for t in TABLES}}
+                row = {"path": path, "content_hash": digest, "error": "can't be read as UTF-8" if content is None else f.error, **{t: getattr(f, t) for t in TABLES}}
                 yield pa.RecordBatch.from_pylist([row], schema=schema)
 
     return files.select("path", "content", "content_hash").mapInArrow(run, SCHEMA)

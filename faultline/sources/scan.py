@@ -134,7 +134,8 @@ def list_sources(paths: Sequence[str], exclude: Sequence[str] = (), max_files: i
 
 
 def read_sources(spark: SparkSession, files: Sequence[str], entry: bool = True) -> DataFrame:
-    """SCHEMA rows of the files.  Each task reads its own share of the list; empty files have rows too."""
+    """SCHEMA rows of the files.  Each task reads its own share of the list; empty files have rows too, and files that can't
+    be read or aren't UTF-8 have null content."""
     import hashlib
 
     def run(batches):
@@ -142,9 +143,12 @@ def read_sources(spark: SparkSession, files: Sequence[str], entry: bool = True)
 
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                with open(path, "rb") as f:
-                    data = f.read()
-                text = data.decode("utf-8")
+                try:
+                    with open(path, "rb") as f:
+                        data = f.read()
+                    text = data.decode("utf-8")
+                except (OSError, UnicodeDecodeError):  # a row without content: extraction reports it
+                    data, text = b"", None
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([text], pa.string()), pa.array([hashlib.sha256(data).hexdigest()]), pa.array([entry])], names=["path", "content", "content_hash", "is_entry"])
 
     rows = spark.createDataFrame([(f,) for f in files], "path string")

@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["throw_sites", "rethrow_blocks", "uncaught_direct", "caught_direct", "throws_in_blocks", "call_edges", "propagated_set", "missing_declarations", "type_ancestors", "lsp_violations", "resolve_coalesce", "doc_throws_parse", "offset_line_col", "jsdoc_locate", "help_types", "stale_diagnostics", "fix_line_rewrite", "extract_throws", "fixed_sources"]
+SOME = ["throw_sites", "rethrow_blocks", "uncaught_direct", "caught_direct", "throws_in_blocks", "call_edges", "propagated_set", "missing_declarations", "type_ancestors", "lsp_violations", "resolve_coalesce", "doc_throws_parse", "offset_line_col", "jsdoc_locate", "help_types", "stale_diagnostics", "fix_line_rewrite", "extract_throws", "fixed_sources", "edge_pass", "extract_methods", "extract_scopes", "extract_switches", "scopes_uncaught", "scan_listing", "scan_contents", "config_references", "config_closure", "resolution_fingerprint", "dep_fingerprint", "definition_hits", "type_check_through", "workspace_change", "whole_runs"]
 
 
 def test_every_query_has_sql_or_is_named():
@@ -41,3 +41,9 @@ def test_entry_without_the_subpackage(tmp_path):
     root = os.path.dirname(os.path.abspath(entry.__file__))
     code = "import sys\nclass No:\n    def find_spec(self, name, path=None, target=None):\n        if name.startswith(('faultline.llm', 'corpus_pipeline')):\n            raise ModuleNotFoundError(name, name=name)\nsys.meta_path.insert(0, No())\nimport __spark_entry__ as e\nassert len(e.queries()) > 40 and not [q for q in e.queries() if q.startswith('op')]\n"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_a_missing_dependency_leaves_the_core(tmp_path):
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    code = "import sys\nclass No:\n    def find_spec(self, name, path=None, target=None):\n        if name == 'regex':\n            raise ModuleNotFoundError(name, name=name)\nsys.meta_path.insert(0, No())\nimport __spark_entry__ as e\nassert len(e.queries()) > 40\n"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
