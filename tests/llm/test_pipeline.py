@@ -66,3 +66,23 @@ def test_bpe_and_run(spark, sf_dir, steps):
     want = sorted((i, len(x := ref.encode(t or "", add_special_tokens=False).ids), hashlib.sha256(ref.decode(x, skip_special_tokens=False).encode()).hexdigest()) for i, t in rows(steps[4]))
     assert sorted((r.doc_id, r.n_tokens, r.decoded_sha256) for r in steps[5].collect()) == want
     assert sorted((r.doc_id, r.n_tokens, r.decoded_sha256) for r in corpus_pipeline.run(spark, sf_dir).collect()) == want
+
+
+def test_odd_rows_at_every_stage(spark, sf_dir):
+    """Nulls in any column, empty and repeated rows, clashing names; and an empty table."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, score double, row string, id int"
+    odd = [(1, "one two three four five", "en", "s", 23, 0.5, "r", 1), (1, "one two three four five", "en", "s", 23, 0.5, "r", 1), (2, None, None, None, None, None, None, None), (3, "", "en", None, 0, 0.1, "q", 2), (None, "no id at all here", "de", "t", 4, 0.2, "p", 3), (4, "ONE two three four five", None, "s", 23, 0.9, "o", 4), (5, "x" * 200_000, "en", "s", 9, 0.3, "n", 5)]
+    docs = spark.createDataFrame(odd, kind)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"odd-{name}")
+        kept[name] = sorted((r.doc_id for r in docs.collect()), key=str)
+        if name != "bpe":
+            assert docs.columns == [x.split()[0] for x in kind.split(", ")]
+            assert all(r.score == dict((o[0], o[5]) for o in odd)[r.doc_id] for r in docs.collect())
+    assert kept["toxicity"] == sorted([r[0] for r in odd], key=str) and kept["exact_dedup"] == kept["ngram_jaccard"] == sorted([1, 2, 5, None], key=str)
+    assert set(kept["mixing"]) == set(kept["bpe"]) <= {1, 5, None} and kept["bpe"]
+    empty = spark.createDataFrame([], kind)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = materialize(stage(spark, empty, sf_dir), f"empty-{name}")
+        assert empty.count() == 0
