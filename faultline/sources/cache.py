@@ -36,10 +36,12 @@ def valid_diagnostics(cached: DataFrame, wanted: DataFrame, deps: DataFrame, cur
 
 
 def definition_hits(calls: DataFrame, cached: DataFrame, current: DataFrame, resolution: str) -> DataFrame:
-    """``calls`` (file, content_hash, start, end, callee_name) with the cached (def_file, def_line), where the caller's file,
-    the definition's file and the resolution fingerprint are all as they were."""
+    """``cached`` definitions (file, content_hash, start, end, callee_name, def_file, def_line) of ``calls`` where the caller's
+    file, the definition's file and the resolution fingerprint are all as they were: each of them once, however often its call
+    comes in ``calls``."""
+    key = ["file", "content_hash", "start", "end", "callee_name"]
     c = cached.where(F.col("resolution") == resolution).join(current.select(F.col("path").alias("def_file"), F.col("content_hash").alias("def_hash")), ["def_file", "def_hash"], "left_semi")
-    return calls.join(c.select("file", "content_hash", "start", "end", "callee_name", "def_file", "def_line"), ["file", "content_hash", "start", "end", "callee_name"])
+    return c.join(calls.select(*key), key, "left_semi").select(*key, "def_file", "def_line")
 
 
 def type_check_hits(pairs: DataFrame, cached: DataFrame) -> DataFrame:
