@@ -21,6 +21,14 @@ signatures array<struct<type_file: string, type_name: string, type_span: {_SPAN}
 aliases array<struct<file: string, alias: string, member: string, ordinal: int>>,
 imports array<struct<file: string, local: string, imported: string, source: string>>"""
 TABLES = ("functions", "throws", "calls", "tries", "relations", "signatures", "aliases", "imports")
+#: Files and characters of sources whose rows go on together, and tasks a core: files differ in size.
+FILES, CHARACTERS, TASKS = 256, 1 << 20, 4
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """``files`` over all cores by path: the folder or table they come from may be a single task's."""
+    spark = files.sparkSession
+    return files.repartition(max(TASKS * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path")
 
 
 def extractions(files: DataFrame) -> DataFrame:
@@ -35,13 +43,19 @@ def extractions(files: DataFrame) -> DataFrame:
 
         from ..parse.extract import extract
 
+        rows, size = [], 0
         for batch in batches:
             for path, content, digest in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 f = extract(path, content or "")
-                row = {"path": path, "content_hash": digest, "error": "can't be read as UTF-8" if content is None else f.error, **{t: getattr(f, t) for t in TABLES}}
-                yield pa.RecordBatch.from_pylist([row], schema=schema)
-
-    return files.select("path", "content", "content_hash").mapInArrow(run, SCHEMA)
+                rows.append({"path": path, "content_hash": digest, "error": "can't be read as UTF-8" if content is None else f.error, **{t: getattr(f, t) for t in TABLES}})
+                size += len(content or "")
+                if len(rows) >= FILES or size >= CHARACTERS:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return spread(files.select("path", "content", "content_hash")).mapInArrow(run, SCHEMA)
 
 
 @dataclass
