@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.fingerprint import fingerprint
-from ..operators.graph import rounds
+from ..operators.graph import held_back, rounds
+from ..storage import materialize
 
 PLAIN = frozenset({"package.json", "package-lock.json", "pnpm-lock.yaml", "yarn.lock", "bun.lockb"})
 SKIPPED = frozenset({".git", ".faultline", "node_modules", "target", "dist", "build", ".next", "coverage", ".turbo"})
@@ -91,18 +92,19 @@ def references(files: DataFrame) -> DataFrame:
     found = files.select("path", "content").mapInArrow(run, REFERENCES)
     key = ["path", "kind", "reference"]
     tried = found.select(*key, F.posexplode("candidates").alias("no", "target"))
-    first = tried.join(files.select(F.col("path").alias("target")).distinct(), "target", "left_semi").groupBy(*key).agg(F.min(F.struct("no", "target")).alias("t"))
-    out = found.select(*key, "marker").distinct().join(first, key, "left")
+    first = tried.join(files.select(F.col("path").alias("target")).distinct().hint("merge"), "target", "left_semi").groupBy(*key).agg(F.min(F.struct("no", "target")).alias("t"))
+    out = found.select(*key, "marker").distinct().join(first.hint("merge"), key, "left")
     return out.select(*key, F.col("t.target").alias("target"), F.when(F.col("t").isNull(), F.col("marker")).alias("marker"))
 
 
 def closure(refs: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """(root, path): every file that a configuration leads to; ``roots``: column ``root``, default all of ``refs``."""
-    e = refs.where("target is not null").select(F.col("path").alias("a"), "target").distinct()
+    e = materialize(refs.where("target is not null").select(F.col("path").alias("a"), "target").distinct(), "references")
+    to = held_back(e)
     first = e.select(F.col("a").alias("root"), F.col("target").alias("path"))
     if roots is not None:
         first = first.join(roots.select("root"), "root", "left_semi")
-    return rounds(first, lambda new: new.join(e, new.path == e.a).select("root", F.col("target").alias("path")), ["root", "path"])
+    return rounds(first, lambda new: new.join(to, F.col("path") == F.col("a")).select("root", F.col("target").alias("path")), ["root", "path"])
 
 
 def entries(files: DataFrame, refs: DataFrame) -> DataFrame:

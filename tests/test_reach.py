@@ -71,3 +71,22 @@ def test_sums_beyond_64_bits(spark):
     p = spark.range(41).select(F.col("id").alias("fn"), F.lit((1 << 60) - 1).alias("p0"))
     g = reach.pack(e, spark.range(41).toDF("root"))
     assert {r.root: (r.n, int(r.s0)) for r in reach.sums(e, g, p).collect()} == {k: (41 - k, (41 - k) * ((1 << 60) - 1)) for k in range(41)}
+
+
+def test_large_closures_send_nothing_through_the_driver(spark, monkeypatch):
+    """Configurations that refer to others: tables of many rows are joined by shuffles, however small their files are."""
+    from faultline.sources import config
+
+    refs = spark.createDataFrame([(f"p{k}", f"p{k // 3}" if k % 5 else None) for k in range(60)], "path string, target string")
+    edges = [(f"p{k}", f"p{k // 3}") for k in range(60) if k % 5]
+    want = {(r, x) for r in {a for a, _ in edges} for x in walk(edges, r)}
+    plans, write = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, name))[1])
+    for most, sent in ((0, False), (1000, True)):
+        plans.clear()
+        monkeypatch.setattr(graph, "BROADCAST", most)
+        assert {tuple(r) for r in config.closure(refs).collect()} == want
+        assert any("BroadcastExchange" in p for p in plans) == sent and len(plans) > 2
+    found = config.references(spark.createDataFrame([("/a/tsconfig.json", '{"extends": "./b.json"}'), ("/a/b.json", "{}")], "path string, content string"))
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r.target for r in found.collect()] == ["/a/b.json"]
